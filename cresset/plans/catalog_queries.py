@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from cresset.plans import reference_queries
+
+QUERIES: dict = {**reference_queries.QUERIES}
+ORACLE: dict[str, str] = {**reference_queries.ORACLE}
