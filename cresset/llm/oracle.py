@@ -2,4 +2,34 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_KEYED = r"""
+WITH keyed AS (
+  SELECT 'sampling_frame_1200' AS table_name, 'catalog' AS field_name, catalog AS k FROM sampling_frame_1200
+  UNION ALL SELECT 'human_labels_201', 'llm_says', llm_says FROM human_labels_201
+  UNION ALL SELECT 'human_labels_201', 'model', model FROM human_labels_201),
+counts AS (SELECT table_name, field_name, lower(trim(k, E' \t\n\r')) AS k, count(*) AS n FROM keyed GROUP BY ALL),
+report AS (
+  SELECT target_set, category, coalesce(n, 0) AS available, greatest(CAST(round(target_share * sample_size) AS BIGINT), min_rows) AS needed
+  FROM sample_targets t LEFT JOIN counts c ON c.table_name = t.table_name AND c.field_name = t.field_name AND c.k = lower(trim(t.category, E' \t\n\r')))
+"""
+
+_COPIES = r"""
+WITH hidden AS (
+  SELECT row_id FROM verdicts WHERE regexp_matches(title, '[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{FB00}-\x{FB06}\x{0300}-\x{036F}]')
+     OR regexp_matches(title, '\p{Latin}[\p{L}\p{N}]*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{L}\p{N}]*\p{Latin}')),
+words AS (
+  SELECT row_id, catalog, model, in_catalog, list_sort(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS w FROM verdicts WHERE row_id NOT IN (SELECT row_id FROM hidden)),
+grouped AS (SELECT row_id, min(row_id) OVER (PARTITION BY catalog, model, in_catalog, w) AS keep_id FROM words WHERE len(w) > 0)
+"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": _KEYED + "SELECT target_set, category FROM report WHERE available < needed",
+    "p1_report": _KEYED + "SELECT target_set, category, available, needed, least(available, needed) AS drawn, needed - least(available, needed) AS shortfall FROM report",
+    "p6_found": _COPIES + "SELECT keep_id, row_id AS copy_id FROM grouped WHERE row_id <> keep_id",
+    "p8_found": r"""
+WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+grams AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM item_words)),
+doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+doc_grams AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM doc_words))
+SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN grams USING (g)""",
+}
