@@ -1,8 +1,293 @@
-"""Queries of the core operators."""
+"""Queries of the core operators over the test tables, and the SQL they are held against."""
 
 from __future__ import annotations
 
-from cresset.plans import reference_queries
+from functools import reduce
 
-QUERIES: dict = {**reference_queries.QUERIES}
-ORACLE: dict[str, str] = {**reference_queries.ORACLE}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cresset.functions import similarity, text
+from cresset.operators import catalog, judging, retrieval
+from cresset.plans import audit_queries, reference_queries, score_queries
+from cresset.sources.tables import table
+
+KINDS = {"movielens": "film", "yelp": "place"}
+LEAST_ROWS, N_AUDIT, N_CALIBRATION = 12, 20, 30
+
+
+def kind_of(scope: Column) -> Column:
+    """The kind of title a catalog holds."""
+    return reduce(lambda out, k: out.when(scope == k, KINDS[k]), KINDS, F.when(F.lit(False), "")).otherwise("product")
+
+
+def catalog_popularity_quartile(spark: SparkSession, folder: str) -> DataFrame:
+    built = catalog.build_catalog(table(spark, folder, "catalog", "row_id", "catalog", "item_id", "title"), table(spark, folder, "interactions", "catalog", "item_id"))
+    return built.select("catalog", "item_id", "interaction_count", "popularity_quartile")
+
+
+def eligible_users(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.eligible_users(table(spark, folder, "interactions", "user_id"), LEAST_ROWS)
+
+
+def _hashed_user() -> Column:
+    return F.pmod(F.substring("user_id", 2, 20).try_cast("long") * 2654435761, F.lit(4294967296))
+
+
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.split_users(eligible_users(spark, folder), N_AUDIT, N_CALIBRATION, _hashed_user())
+
+
+def user_split(spark: SparkSession, folder: str) -> DataFrame:
+    return _split(spark, folder)
+
+
+def _histories(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "interactions", "catalog", "user_id", "item_id", "timestamp")
+    in_seconds = F.when(F.col("catalog") == "amazon", F.col("timestamp") / 1000).otherwise(F.col("timestamp").cast("double"))
+    keyed = rows.select("user_id", F.concat_ws(":", "catalog", "item_id").alias("item_id"), in_seconds.alias("timestamp"))
+    return catalog.ordered_histories(keyed, _split(spark, folder))
+
+
+def user_histories(spark: SparkSession, folder: str) -> DataFrame:
+    """Each sampled user's items in order of time, the last being held out."""
+    return _histories(spark, folder)
+
+
+def holdout_users(spark: SparkSession, folder: str) -> DataFrame:
+    items = catalog_popularity_quartile(spark, folder).select(F.concat_ws(":", "catalog", "item_id").alias("item_id"), "popularity_quartile")
+    return catalog.with_target_quartile(_histories(spark, folder), items)
+
+
+def holdout_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    arrays = catalog.as_arrays(_histories(spark, folder))
+    return arrays.select("user_id", F.array_join("history", " ").alias("history"), "target_item_id")
+
+
+def normalized_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "catalog", "row_id", "title").select("row_id", text.normalized("title").alias("normalized"))
+
+
+def token_sortkey(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "catalog", "row_id", "normalized_title").select("row_id", text.sort_key("normalized_title").alias("sort_key"))
+
+
+def title_year(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "verdicts", "row_id", "title").select("row_id", text.year_of("title").alias("year"))
+
+
+def folded_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "catalog", "row_id", "title").select("row_id", text.folded("title").alias("folded"))
+
+
+def surface_forms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "catalog", "row_id", "catalog", "title")
+    return rows.select("row_id", F.explode(text.surface_forms("title", kind_of(F.col("catalog")))).alias("form"))
+
+
+def _matched(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "verdicts", "row_id", "catalog", "title", "match_title")
+    return rows.where("title is not null and match_title <> ''")
+
+
+def short_title_guard(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _matched(spark, folder).select("row_id", text.normalized("title").alias("q"), text.normalized("match_title").alias("f"))
+    return pairs.select("row_id", text.short_conflict("q", "f").alias("conflict"), text.tokens_agree("q", "f").alias("agree"))
+
+
+def title_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratios of matched verdicts' titles: of characters, sorted tokens, token sets, and over surface forms."""
+    rows = _matched(spark, folder)
+    pairs = rows.select("row_id", text.folded("title").alias("q"), text.folded("match_title").alias("f"))
+    ratios = pairs.select("row_id", similarity.indel("q", "f").alias("indel"), similarity.token_sort("q", "f").alias("token_sort"), similarity.token_set("q", "f").alias("token_set"))
+    from cresset.operators.scoring import pair_scores
+
+    forms = pair_scores(rows.select("row_id", F.col("title").alias("query"), F.col("match_title").alias("title"), kind_of(F.col("catalog")).alias("kind")), ["row_id"])
+    return ratios.join(forms, "row_id")
+
+
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.index(table(spark, folder, "catalog", "catalog", "item_id", "title"))
+
+
+def _normal_entries(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "catalog", "catalog", "item_id", "normalized_title")
+    return rows.select("catalog", "item_id", F.col("normalized_title").alias("folded")).where("folded <> ''").distinct()
+
+
+def token_idf(spark: SparkSession, folder: str) -> DataFrame:
+    weights = retrieval.token_weights(_normal_entries(spark, folder))
+    return weights.select("catalog", "token", "df", F.round("idf", 6).alias("idf"))
+
+
+def _queries(spark: SparkSession, folder: str) -> DataFrame:
+    titles = table(spark, folder, "human_labels_201", "catalog", "generated_title").where("generated_title is not null").distinct()
+    return titles.select(F.concat_ws("|", "catalog", "generated_title").alias("query"), "catalog", text.normalized("generated_title").alias("folded")).where("folded <> ''")
+
+
+def rare_token_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.by_rare_tokens(_queries(spark, folder), _normal_entries(spark, folder)).select("query", "item_id", "score")
+
+
+def fuzzy_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The most similar entries of every labeled title, all pairs of its catalog."""
+    queries = _queries(spark, folder).withColumn("sorted", text.sort_key("folded"))
+    return retrieval.compare_all(queries, _entries(spark, folder), retrieval.DEPTH.k)
+
+
+def full_catalog_best(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether any entry of the whole catalog matches a labeled title by sorted tokens at the cutoff."""
+    queries = _queries(spark, folder).withColumn("sorted", text.sort_key("folded"))
+    best = retrieval.compare_all(queries, _entries(spark, folder), 1, retrieval.DEPTH.cutoff, "token_sort")
+    return queries.select("query").distinct().join(best.select("query", "score"), "query", "left").select("query", F.col("score").isNotNull().alias("matched"))
+
+
+def retrieved_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    titles = table(spark, folder, "human_labels_201", "catalog", "generated_title")
+    return retrieval.retrieve(titles, table(spark, folder, "catalog", "catalog", "item_id", "title"), title="generated_title")
+
+
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    names = [f"cand_{k}" for k in range(1, 9)]
+    ids = [f"{n}_id" for n in names]
+    rows = table(spark, folder, "human_labels_201", "row_id", "catalog", "generated_title", "llm_pick", *names, *ids)
+    slots = F.filter(F.array(*(F.struct(F.col(n).alias("title"), F.col(i).alias("item_id")) for n, i in zip(names, ids))), lambda c: c["title"].isNotNull() & (c["title"] != ""))
+    return rows.select("row_id", "catalog", F.coalesce("generated_title", F.lit("")).alias("title"), "llm_pick", slots.alias("candidates"))
+
+
+def pending_titles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "verdicts", "row_id", "catalog", "model", "title", "judged")
+    return judging.pending(rows, rows, ["catalog", "model", "title"], "row_id")
+
+
+def _batches(spark: SparkSession, folder: str) -> DataFrame:
+    return judging.batched(_labels(spark, folder), ["catalog"], ["row_id"])
+
+
+def judge_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    items = _batches(spark, folder).withColumn("candidates", F.transform("candidates", lambda c: c["title"]))
+    return judging.prompts(items, ["catalog"])
+
+
+def parsed_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Picks read back from replies made of the labels' picks, some of them out of range or no numbers."""
+    items = _batches(spark, folder)
+    line = F.concat(F.lit("item "), F.col("item").cast("string"), F.lit(": "), F.coalesce("llm_pick", F.lit("?")), F.lit(" done"))
+    lines = F.array_sort(F.collect_list(F.struct("item", line.alias("text"), F.size("candidates").alias("n"))))
+    replies = items.groupBy("catalog", "batch").agg(lines.alias("l")).select("catalog", "batch", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("reply"), F.transform("l", lambda x: x["n"]).alias("n_cands"))
+    return judging.parse_replies(replies, ["catalog", "batch"])
+
+
+def judge_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts of the judge that compares normal forms, by way of prompts and replies."""
+    items = _batches(spark, folder)
+    asked = judging.prompts(items.withColumn("candidates", F.transform("candidates", lambda c: c["title"])), ["catalog"])
+    replies = judging.judge(asked, judging.equal_title_judge)
+    counts = items.groupBy("catalog", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", F.size("candidates").alias("n")))), lambda x: x["n"]).alias("n_cands"))
+    picks = judging.parse_replies(replies.join(counts, ["catalog", "batch"]), ["catalog", "batch"])
+    return judging.verdicts(items, picks, ["catalog", "batch"]).select("row_id", "judged", "in_catalog", "match_title", "match_id")
+
+
+def json_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of JSON texts, null where they are none."""
+    rows = table(spark, folder, "events", "event_id", "props")
+    return rows.select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
+    from cresset.sources.files import epoch_seconds
+
+    rows = table(spark, folder, "orders", "o_orderkey", "o_orderdate")
+    return rows.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("d")).select("o_orderkey", epoch_seconds("d").alias("seconds"))
+
+
+_SPACES = r"\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def normal_sql(x: str) -> str:
+    """SQL of the normal form of a title."""
+    year = rf"regexp_replace(lower({x}), '[{_SPACES}]*\([12]\d{{3}}\)[{_SPACES}]*$', '')"
+    words = rf"regexp_replace({year}, '[^\p{{L}}\p{{N}}_]', ' ', 'g')"
+    return rf"coalesce(trim(regexp_replace({words}, ' +', ' ', 'g')), '')"
+
+
+def sort_sql(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda t: t <> '')), ' ')"
+
+
+def set_sql(x: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split({x}, ' '), lambda t: t <> '')))"
+
+
+_CATALOG = """
+WITH items AS (SELECT catalog, item_id FROM catalog WHERE item_id IS NOT NULL GROUP BY ALL),
+counts AS (SELECT catalog, item_id, count(*) AS n FROM interactions GROUP BY ALL),
+counted AS (SELECT i.catalog, i.item_id, coalesce(n, 0) AS interaction_count FROM items i LEFT JOIN counts c USING (catalog, item_id)),
+places AS (SELECT *, row_number() OVER (PARTITION BY catalog ORDER BY interaction_count DESC, item_id) - 1 AS r, count(*) OVER (PARTITION BY catalog) - 1 AS m FROM counted),
+quartiles AS (SELECT catalog, item_id, interaction_count, 'Q' || (1 + (4 * r > m)::INT + (4 * r > 2 * m)::INT + (4 * r > 3 * m)::INT) AS popularity_quartile FROM places)
+"""
+_SPLIT = f"""
+eligible AS (SELECT user_id, count(*) AS n FROM interactions WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) >= {LEAST_ROWS}),
+placed AS (SELECT user_id, row_number() OVER (ORDER BY (CAST(substr(user_id, 2) AS BIGINT) * 2654435761) % 4294967296, user_id) AS p FROM eligible),
+split AS (SELECT user_id, CASE WHEN p <= {N_AUDIT} THEN 'audit' ELSE 'calibration' END AS part FROM placed WHERE p <= {N_AUDIT + N_CALIBRATION}),
+own AS (SELECT user_id, part, concat_ws(':', catalog, item_id) AS item_id, CASE WHEN catalog = 'amazon' THEN timestamp / 1000 ELSE timestamp::DOUBLE END AS t FROM interactions JOIN split USING (user_id)),
+histories AS (
+  SELECT user_id, part, row_number() OVER w AS place, item_id, row_number() OVER w = count(*) OVER (PARTITION BY user_id) AS is_target, count(*) OVER (PARTITION BY user_id) AS n
+  FROM own WINDOW w AS (PARTITION BY user_id ORDER BY t NULLS FIRST, item_id))
+"""
+_INDEX = """
+WITH entries AS (SELECT DISTINCT catalog, item_id, normalized_title AS f FROM catalog WHERE normalized_title <> ''),
+sizes AS (SELECT catalog, count(*) AS n FROM entries GROUP BY 1),
+each AS (SELECT catalog, item_id, unnest(list_distinct(list_filter(string_split(f, ' '), lambda t: t <> ''))) AS token FROM entries),
+weights AS (SELECT catalog, token, count(*) AS df, n, ln(n / (1.0 + count(*))) AS idf FROM each JOIN sizes USING (catalog) GROUP BY catalog, token, n)
+"""
+_CANDS = ", ".join(f"{{'title': cand_{k}, 'item_id': cand_{k}_id}}" for k in range(1, 9))
+_BATCHES = f"""
+WITH items AS (
+  SELECT row_id, catalog, coalesce(generated_title, '') AS title, llm_pick, list_filter([{_CANDS}], lambda c: c.title IS NOT NULL AND c.title <> '') AS c,
+         row_number() OVER (PARTITION BY catalog ORDER BY row_id) - 1 AS p FROM human_labels_201),
+batched AS (SELECT *, p // 10 AS batch, p % 10 + 1 AS item FROM items)
+"""
+
+ORACLE: dict[str, str] = {
+    **reference_queries.ORACLE,
+    **score_queries.ORACLE,
+    **audit_queries.ORACLE,
+    "catalog_popularity_quartile": _CATALOG + "SELECT * FROM quartiles",
+    "eligible_users": f"SELECT user_id, count(*) AS n FROM interactions WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) >= {LEAST_ROWS}",
+    "user_split": "WITH" + _SPLIT + "SELECT user_id, part FROM split",
+    "user_histories": "WITH" + _SPLIT + "SELECT user_id, part, place, item_id, is_target FROM histories WHERE n >= 2",
+    "holdout_users": _CATALOG + "," + _SPLIT + "SELECT h.user_id, h.part, h.item_id AS target_item_id, coalesce(q.popularity_quartile, 'Q4') AS target_quartile, place - 1 AS n_history FROM histories h LEFT JOIN quartiles q ON h.item_id = concat_ws(':', q.catalog, q.item_id) WHERE is_target AND n >= 2",
+    "holdout_arrays": "WITH" + _SPLIT + "SELECT user_id, string_agg(item_id, ' ' ORDER BY place) FILTER (NOT is_target) AS history, max(item_id) FILTER (is_target) AS target_item_id FROM histories WHERE n >= 2 GROUP BY 1",
+    "normalized_titles": f"SELECT row_id, {normal_sql('title')} AS normalized FROM catalog",
+    "token_sortkey": f"SELECT row_id, {sort_sql('normalized_title')} AS sort_key FROM catalog",
+    "title_year": rf"SELECT row_id, nullif(regexp_extract(title, '[{_SPACES}]*\((\d{{4}})\)[{_SPACES}]*$', 1), '') AS year FROM verdicts",
+    "short_title_guard": f"""
+WITH p AS (SELECT row_id, {set_sql(normal_sql('title'))} AS q, {set_sql(normal_sql('match_title'))} AS f,
+  len(list_filter(string_split({normal_sql('title')}, ' '), lambda t: t <> '')) AS nq, len(list_filter(string_split({normal_sql('match_title')}, ' '), lambda t: t <> '')) AS nf
+  FROM verdicts WHERE title IS NOT NULL AND match_title <> '')
+SELECT row_id, CASE WHEN nq = 0 OR nf = 0 THEN true WHEN least(nq, nf) > 3 THEN false ELSE q <> f END AS conflict, q = f AS agree FROM p""",
+    "token_idf": _INDEX + "SELECT catalog, token, df, round(idf, 6) AS idf FROM weights",
+    "rare_token_topk": _INDEX
+    + f""", queries AS (SELECT DISTINCT catalog || '|' || generated_title AS query, catalog, {normal_sql('generated_title')} AS f FROM human_labels_201 WHERE generated_title IS NOT NULL),
+asked AS (SELECT query, catalog, unnest(list_distinct(list_filter(string_split(f, ' '), lambda t: t <> ''))) AS token FROM queries),
+postings AS (SELECT DISTINCT catalog, item_id, token FROM each),
+scores AS (SELECT query, item_id, round(sum(idf), 6) AS score FROM asked JOIN postings USING (catalog, token) JOIN weights USING (catalog, token) WHERE df <= 0.02 * n GROUP BY ALL)
+SELECT query, item_id, score FROM scores QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) <= 12""",
+    "pending_titles": "SELECT catalog, model, title, min(row_id) AS first FROM verdicts v WHERE title IS NOT NULL AND NOT EXISTS (SELECT 1 FROM verdicts d WHERE d.judged AND d.catalog = v.catalog AND d.model = v.model AND d.title = v.title) GROUP BY ALL",
+    "judge_prompts": _BATCHES
+    + r"""SELECT catalog, batch, count(*)::INT AS n_items, string_agg(item || '. ' || title || CASE WHEN len(c) > 0 THEN E'\n' || array_to_string(list_transform(c, lambda x, k: '  ' || k || ') ' || x.title), E'\n') ELSE '' END, E'\n' ORDER BY item) AS prompt
+FROM batched GROUP BY ALL""",
+    "parsed_replies": _BATCHES + "SELECT catalog, batch, item, try_cast(llm_pick AS INT) AS pick FROM batched WHERE try_cast(llm_pick AS INT) BETWEEN 0 AND len(c)",
+    "json_fields": "SELECT event_id, try_cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "parsed_dates": "SELECT o_orderkey, epoch(date_trunc('second', o_orderdate))::BIGINT AS seconds FROM orders",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        catalog_popularity_quartile, eligible_users, user_split, user_histories, holdout_users, holdout_arrays, normalized_titles, token_sortkey, title_year,
+        folded_titles, surface_forms, short_title_guard, title_ratios, token_idf, rare_token_topk, fuzzy_topk, full_catalog_best, retrieved_candidates, pending_titles,
+        judge_prompts, parsed_replies, judge_verdicts, json_fields, parsed_dates,
+    )
+} | {**score_queries.QUERIES, **audit_queries.QUERIES, **reference_queries.QUERIES}
