@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, so that they need no copy of their own. Once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_cresset_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="cresset-")) / "cresset.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._cresset_shipped = True
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+
+
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         try:
