@@ -39,8 +39,9 @@ ROUNDS = 3
 MAX_SOURCES = 256
 _TOKEN = re.compile(r"[^\x00-\x20!-/:->@\[-`{-~]+")
 _UNIT = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}")
-_INNER_GAP = re.compile(r"\?(?=[^\W\d_])|\?\?|[^\W\d_]\?$")
-_FLOOR, _KEPT = 1e-9, 0.9
+_GAP = re.compile(r"\?(?=[^\W\d_])|\?\?|[^\W\d_]\?$")
+_LAST_GAP = re.compile(r"[^?\ufffd]*[^\W\d_]\?$")
+_FLOOR, _KEPT, _SCRIPT = 1e-9, 0.9, 0.05
 #: Share of tokens that hold look-alike letters, as assumed.
 _DISGUISED = 1e-2
 
@@ -58,14 +59,17 @@ def _page(name: str) -> dict[str, int]:
     return out
 
 
-def _once(text: str, page: str) -> tuple[str, list[tuple[str, str]]]:
-    """The text with all groups that are UTF-8 in the page's bytes replaced, and the groups with their letters."""
+def _once(text: str, page: str, again: bool = False) -> tuple[str, list[tuple[str, str]]]:
+    """The text with all groups that are UTF-8 in the page's bytes replaced, and the groups with their letters.
+
+    Control signs are no letters, but where the result is read ``again`` they may be part of groups.
+    """
     to_byte = _page(page)
     raw = bytes(ord(c) if c < "\x80" else to_byte.get(c, 0xFF) for c in text)
     out, units, at = [], [], 0
     for m in _UNIT.finditer(raw):
         letter = m[0].decode("utf-8", "replace")
-        if len(letter) == 1 and unicodedata.category(letter)[0] not in "C" or letter == "­":
+        if len(letter) == 1 and unicodedata.category(letter)[0] not in "C" or letter == "\u00ad" or again and letter <= "\x9f":
             out += [text[at : m.start()], letter]
             units.append((text[m.start() : m.end()], letter))
             at = m.end()
@@ -102,11 +106,12 @@ def readings(token: str) -> dict[str, str]:
         once, units = _once(token, page)
         if units:
             out[f"{page}>utf-8"] = once
-            if page in READ_PAGES[:4]:
-                for second in {page, "latin-1", "cp1252"}:
-                    twice, more = _once(once, second)
-                    if more:
-                        out[f"{page}>utf-8 twice"] = twice
+        if page in READ_PAGES[:4]:
+            inner, units = _once(token, page, again=True)
+            if units:
+                twice, more = max((_once(inner, second) for second in dict.fromkeys((page, "latin-1", "cp1252"))), key=lambda x: sum(len(u) for u, _ in x[1]))
+                if more:
+                    out[f"{page}>utf-8 twice"] = twice
     letters = [c for c in token if c >= "\x80"]
     if len(letters) >= 2 and not any(c.isascii() and c.isalpha() for c in token):
         for page in WESTERN_PAGES:
@@ -122,13 +127,15 @@ def readings(token: str) -> dict[str, str]:
 
 def is_lost(token: str) -> bool:
     """Whether signs in the token may replace letters that can't be restored."""
-    return "�" in token or bool(_INNER_GAP.search(token))
+    return "�" in token or bool(_GAP.search(token))
 
 
 @lru_cache(maxsize=1 << 16)
 def _symbol(c: str) -> tuple[str, float]:
-    """The sign counted for a character, and the logarithm of the character's share of it."""
+    """The sign counted for a character, and the logarithm of the character's share of it; proper text holds no control signs."""
     o = ord(c)
+    if 0x80 <= o < 0xA0:
+        return c, -12.0
     if 0x3400 <= o < 0xA000 or 0xF900 <= o < 0xFB00 or 0x20000 <= o < 0x33480:
         return "一", -8.0
     if 0x3040 <= o < 0x3100:
@@ -138,6 +145,16 @@ def _symbol(c: str) -> tuple[str, float]:
     return c.lower()[:1], 0.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _kind(sign: str) -> str:
+    """The kind of a sign: border, digit, ASCII letter, or the script of another letter; all else is a sign."""
+    if sign in "^$" or not sign:
+        return "^"
+    if not sign.isalpha():
+        return "digit" if sign.isdigit() else "sign"
+    return "plain" if sign.isascii() else unicodedata.name(sign, "?").split(" ")[0]
+
+
 def bigrams(text: str) -> list[tuple[str, str]]:
     """Neighbouring signs of a reading, with its borders."""
     signs = ["^", *(_symbol(c)[0] for c in text), "$"]
@@ -155,14 +172,23 @@ class Model:
             self.first[a] += n
             self.second[b] += n
         self.total = sum(self.first.values()) or 1.0
+        self.steps: dict[tuple[str, str], float] = defaultdict(float)
+        self.steps_from: dict[str, float] = defaultdict(float)
+        for (a, b), n in pairs.items():
+            self.steps[_kind(a), _kind(b)] += n
+            self.steps_from[_kind(a)] += n
+        self.sizes = Counter(_kind(c) for c in self.second)
         self.shares = shares
-        self.weights: dict[tuple[int, str], dict[str, float]] = {}
-        self._accents = [c for c in self.second if c > "\x7f" and c.isalpha()]
+        self.weights: dict[tuple[int, str, frozenset[str]], dict[str, float]] = {}
+        self._hidden = [c for c in self.second if c > "\x7f"]
 
     def probability(self, a: str, b: str, less_pair: float = 0.0, less_first: float = 0.0, less_second: float = 0.0) -> float:
         n, of = self.pairs.get((a, b), 0.0) - less_pair, self.first.get(a, 0.0) - less_first
         single = max(self.second.get(b, 0.0) - less_second, 0.0) / self.total + _FLOOR
-        return _KEPT * max(n, 0.0) / of + (1 - _KEPT) * single if of > 1e-6 else (1 - _KEPT) * single
+        x, y = _kind(a), _kind(b)
+        step = max(self.steps.get((x, y), 0.0) - less_pair, 0.0) / (self.steps_from.get(x, 0.0) + 1.0) / max(self.sizes.get(y, 0), 30)
+        rest = (1 - _KEPT - _SCRIPT) * single + _SCRIPT * step
+        return _KEPT * max(n, 0.0) / of + rest if of > 1e-6 else rest
 
     def score(self, text: str, own: float = 0.0) -> float:
         """Log likelihood of a reading; ``own`` times the text's own bigrams are left out of the counts."""
@@ -187,15 +213,18 @@ class Model:
             if before:
                 value += math.log(self.probability(before, b, own, own, own))
             else:
-                reach = sum(self.probability(x, b) * self.second[x] for x in self._accents)
+                reach = sum(self.probability(x, b) * self.second[x] for x in self._hidden)
                 value += math.log(reach / self.total * 10 + _FLOOR)
             before = b
         return value
 
-    def posterior(self, source: int, token: str, n: float) -> dict[str, float]:
-        """Probability of each cipher, and of the literal reading, for a token that occurs n times."""
-        if (source, token) in self.weights:
-            return self.weights[source, token]
+    def posterior(self, source: int, token: str, n: float, beside: frozenset[str] = frozenset()) -> dict[str, float]:
+        """Probability of each cipher, and of the literal reading, for a token that occurs n times.
+
+        Ciphers found ``beside`` it, in the same text, are as likely as not.
+        """
+        if (source, token, beside) in self.weights:
+            return self.weights[source, token, beside]
         options = readings(token)
         lost = is_lost(token)
         if not options and not lost:
@@ -206,7 +235,7 @@ class Model:
             literal = max(literal, self.score(in_latin(plain)) + math.log(_DISGUISED))
         logs = {LITERAL: literal}
         for key, read in options.items():
-            logs[key] = self.score(read) + math.log(self.shares.get((source, key), 1e-7))
+            logs[key] = self.score(read, n) + math.log(0.5 if key in beside else self.shares.get((source, key), 1e-7))
         if lost:
             logs[LOST] = self.score_lost(token, n) + math.log(self.shares.get((source, LOST), 1e-7))
         most = max(logs.values())
@@ -214,12 +243,23 @@ class Model:
         total = sum(sums.values())
         out = {k: v / total for k, v in sums.items()}
         if len(self.weights) < 1 << 18:
-            self.weights[source, token] = out
+            self.weights[source, token, beside] = out
         return out
 
-    def best(self, source: int, token: str, n: float = 1.0) -> tuple[str, str]:
+    def ciphers(self, source: int, text: str) -> frozenset[str]:
+        """Ciphers that the garbled tokens of a text are most probably written in."""
+        out = set()
+        for token in _TOKEN.findall(text):
+            if not token.isascii():
+                weights = self.posterior(source, token, 1.0)
+                key = max(weights, key=weights.get)
+                if key not in (LITERAL, LOST):
+                    out.add(key)
+        return frozenset(out)
+
+    def best(self, source: int, token: str, n: float = 1.0, beside: frozenset[str] = frozenset()) -> tuple[str, str]:
         """State of a token, and what it stands for: the reading of the largest probability summed over ciphers."""
-        weights = self.posterior(source, token, n)
+        weights = self.posterior(source, token, n, beside)
         by_text: dict[str, float] = defaultdict(float)
         for key, w in weights.items():
             if key not in (LITERAL, LOST):
@@ -317,32 +357,49 @@ def repair(values: DataFrame, model: Model, keep: list[str], source_col: str = "
     handled whole. keep: columns to pass on; columns named like the new ones aren't allowed among them.
     """
     held = values.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    schema = T.StructType([*(values.schema[c] for c in keep), T.StructField("garbled", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("state", T.StringType())])
+    schema = T.StructType([*(values.schema[c] for c in keep), T.StructField("garbled", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("state", T.StringType()), T.StructField("doubtful", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = pickle.loads(held.value)
         for batch in batches:
-            rows, garbled, restored, states = [], [], [], []
+            rows, garbled, restored, states, doubts = [], [], [], [], []
             for k, (source, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                found = set()
+                found, doubt = set(), []
+                beside = now.ciphers(source, text)
 
-                def read(m: re.Match[str], source: int = source, found: set[str] = found) -> str:
+                def read(m: re.Match[str], source: int = source, found: set[str] = found, doubt: list[str] = doubt, beside: frozenset[str] = beside) -> str:
                     if m[0].isascii() and "?" not in m[0]:
                         return m[0]
-                    state, out = now.best(source, m[0])
-                    found.add(state)
+                    state, out = now.best(source, m[0], beside=beside)
+                    if state == LOST and _LAST_GAP.fullmatch(m[0]):
+                        doubt.append(m[0][:-1].lower())
+                    else:
+                        found.add(state)
                     return out
 
                 out = _TOKEN.sub(read, text)
-                if found - {LITERAL}:
+                if found - {LITERAL} or doubt:
+                    doubts.append([] if found - {LITERAL} else doubt)
+                    found |= {LOST} if doubt else set()
                     rows.append(k)
                     garbled.append(text)
                     restored.append(out)
                     states.append("lost" if "restored" not in found else "partly" if LOST in found else "restored")
             if rows:
                 kept = batch.select(list(range(2, batch.num_columns))).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(garbled), pa.array(restored), pa.array(states)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(garbled), pa.array(restored), pa.array(states), pa.array(doubts, type=pa.list_(pa.string()))], names=schema.names)
 
     suspicious = values.where(F.col(text_col).rlike(r"[^\x00-\x7f]|\?"))
     source = F.pmod(F.xxhash64(F.col(source_col).cast("string")), F.lit(MAX_SOURCES)).cast("int")
-    return suspicious.select(source.alias("_source"), F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
+    found = suspicious.select(source.alias("_source"), F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
+    # A question mark may just end a word. It stands for a letter where the corpus holds the word with another letter
+    # there, one that isn't ASCII, but not the word without it.
+    asked = found.select(F.explode("doubtful").alias("word")).distinct()
+    split = r"[\x00-\x20!-/:-@\[-`{-~]+"
+    words = values.where(~F.col(text_col).contains("?")).select(F.explode(F.split(F.lower(F.col(text_col)), split)).alias("word"))
+    longer = words.where(F.col("word").rlike(r"[^\x00-\x7f]$")).select(F.expr("left(word, length(word) - 1)").alias("word"))
+    plain, completed = (w.join(asked, "word", "left_semi").distinct() for w in (words, longer))
+    lost = completed.join(plain, "word", "left_anti").withColumn("_lost", F.lit(1))
+    numbered = found.withColumn("_row", F.when(F.size("doubtful") > 0, F.xxhash64(*keep, "garbled")))
+    cleared = numbered.where(F.size("doubtful") > 0).select("_row", F.explode("doubtful").alias("word")).distinct().join(lost, "word", "left").groupBy("_row").agg(F.count("_lost").alias("n_lost")).where("n_lost = 0").select("_row")
+    return numbered.join(cleared, "_row", "left_anti").drop("_row", "doubtful")
