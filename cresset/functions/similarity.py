@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,62 @@ def common_length(a: Sequence, b: Sequence) -> int:
     return len(a) - row.bit_count()
 
 
+class ManyStrings:
+    """Strings to which many others are compared, a position of all of them at a time."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.lengths = sizes[self.order]
+        points = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for i in self.order]
+        self.alphabet, codes = np.unique(np.concatenate([*points, np.zeros(0, dtype=np.uint32)]), return_inverse=True)
+        self.codes = np.zeros((int(self.lengths[0]) if len(texts) else 0, len(texts)), dtype=np.int32)
+        at = 0
+        for k, n in enumerate(self.lengths):
+            self.codes[:n, k] = codes[at : at + n]
+            at += n
+        #: strings that still have a sign at each position; longer ones come first
+        self.active = np.searchsorted(-self.lengths, -np.arange(len(self.codes)), side="left")
+
+    def common(self, query: str) -> np.ndarray:
+        """Length of the longest common subsequence with each string, in their given order."""
+        words = max(1, -(-len(query) // 64))
+        hits = np.zeros((words, len(self.alphabet)), dtype=np.uint64)
+        place = {c: k for k, c in enumerate(self.alphabet.tolist())}
+        for k, c in enumerate(query):
+            if (code := place.get(ord(c))) is not None:
+                hits[k // 64, code] |= np.uint64(1) << np.uint64(k % 64)
+        rows = np.full((words, len(self.lengths)), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for j, n in enumerate(self.active):
+            codes = self.codes[j, :n]
+            carry: np.ndarray | None = None
+            for w in range(words):
+                row = rows[w, :n]
+                hit = row & hits[w][codes]
+                total = row + hit
+                over = total < row
+                if carry is not None:
+                    total += carry
+                    over |= carry & (total == 0)
+                carry = over
+                rows[w, :n] = total | (row - hit)
+        found = np.zeros(len(self.lengths), dtype=np.int64)
+        for w in range(words):
+            bits = min(64, len(query) - 64 * w)
+            mask = np.uint64((1 << bits) - 1) if bits > 0 else np.uint64(0)
+            found += np.bitwise_count(~rows[w] & mask)
+        out = np.empty_like(found)
+        out[self.order] = found
+        return out
+
+    def ratios(self, query: str) -> np.ndarray:
+        """``indel_ratio`` with each string, in their given order."""
+        sizes = np.empty_like(self.lengths)
+        sizes[self.order] = self.lengths
+        total = sizes + len(query)
+        return np.where(total > 0, 200.0 * self.common(query) / np.maximum(total, 1), 100.0)
+
+
 def indel_ratio(a: str | None, b: str | None, least: float = 0.0) -> float | None:
     """100 times twice the common length over both lengths; two empty strings are equal; null where either is null.
 

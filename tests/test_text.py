@@ -34,6 +34,14 @@ def test_common_length_is_that_of_the_table(a, b):
         assert S.indel_ratio(a, b, least) == (ratio if ratio >= least else 0.0)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abcé 日", max_size=90), max_size=12), st.text("abcé 日x", max_size=200))
+def test_many_at_once_are_one_by_one(texts, query):
+    many = S.ManyStrings(texts)
+    assert many.common(query).tolist() == [S.common_length(query, t) for t in texts]
+    assert many.ratios(query).tolist() == [S.indel_ratio(query, t) for t in texts]
+
+
 def test_ratios_by_hand():
     assert S.indel_ratio("abcd", "abxd") == 75.0
     assert S.indel_ratio(None, "a") is None and S.indel_ratio("", "") == 100.0
