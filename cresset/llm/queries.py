@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cresset.llm import disguised, encoding, formatting, garbled, leakage, mapping, sampling, spans
 from cresset.sources.tables import table
+from cresset.sources.workspace import written
 
 
 def _keyed_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +96,7 @@ def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Every verdict that has a group, with the record kept of it and the number of copies."""
-    other = _disguised(_titles(spark, folder)).where("table_name = 'verdicts'").select("row_id")
+    other = written(_disguised(_titles(spark, folder)).where("table_name = 'verdicts'").select("row_id"), "disguised-verdicts")
     verdicts = table(spark, folder, "verdicts", "row_id", "catalog", "model", "in_catalog", "title").join(other, "row_id", "left_anti")
     return formatting.copies(verdicts, ["catalog", "model", "in_catalog"], "title")
 
