@@ -22,6 +22,14 @@ words AS (
 grouped AS (SELECT row_id, min(row_id) OVER (PARTITION BY catalog, model, in_catalog, w) AS keep_id FROM words WHERE len(w) > 0)
 """
 
+_SPANS = """
+WITH starts AS (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS p FROM documents WHERE length(text) >= 400),
+windows AS (SELECT doc_id, p, md5(substr(text, p, 400)) AS h FROM starts),
+owners AS (SELECT DISTINCT doc_id, h FROM windows),
+common AS (SELECT h FROM owners GROUP BY h HAVING count(*) > 1),
+held AS (SELECT doc_id, h FROM owners SEMI JOIN common USING (h))
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": _KEYED + "SELECT target_set, category FROM report WHERE available < needed",
     "p1_report": _KEYED + "SELECT target_set, category, available, needed, least(available, needed) AS drawn, needed - least(available, needed) AS shortfall FROM report",
@@ -32,4 +40,12 @@ grams AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM
 doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 doc_grams AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM doc_words))
 SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN grams USING (g)""",
+    "p9_found": _SPANS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM held a JOIN held b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_shared": _SPANS
+    + """, places AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM windows SEMI JOIN common USING (h)),
+parts AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS part FROM places),
+stretches AS (SELECT doc_id, max(p) - min(p) + 400 AS n FROM parts GROUP BY doc_id, part),
+sums AS (SELECT doc_id, sum(n)::BIGINT AS shared_chars, count(*) AS n_spans FROM stretches GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0.0 END AS shared_share, coalesce(n_spans, 0) AS n_spans FROM documents LEFT JOIN sums USING (doc_id)""",
 }
+ORACLE["p8_items"] = f"SELECT item_id, count(*) AS n_docs FROM ({ORACLE['p8_found']}) GROUP BY 1"
