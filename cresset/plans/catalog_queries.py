@@ -278,6 +278,10 @@ SELECT query, item_id, score FROM scores QUALIFY row_number() OVER (PARTITION BY
     "judge_prompts": _BATCHES
     + r"""SELECT catalog, batch, count(*)::INT AS n_items, string_agg(item || '. ' || title || CASE WHEN len(c) > 0 THEN E'\n' || array_to_string(list_transform(c, lambda x, k: '  ' || k || ') ' || x.title), E'\n') ELSE '' END, E'\n' ORDER BY item) AS prompt
 FROM batched GROUP BY ALL""",
+    "cost_estimate": _BATCHES
+    + r""", prompts AS (SELECT count(*) AS n, string_agg(item || '. ' || title || CASE WHEN len(c) > 0 THEN E'\n' || array_to_string(list_transform(c, lambda x, k: '  ' || k || ') ' || x.title), E'\n') ELSE '' END, E'\n' ORDER BY item) AS prompt FROM batched GROUP BY catalog, batch),
+s AS (SELECT sum(n)::BIGINT AS n_titles, avg(length(prompt)) AS mean_chars, CAST(ceil(sum(n) / 10) AS BIGINT) AS n_calls FROM prompts)
+SELECT n_titles, n_calls, n_calls * 60 AS tokens_out, round(mean_chars, 6) AS mean_chars, round(n_calls * mean_chars / 4, 6) AS tokens_in, round((n_calls * mean_chars / 4 * 3.0 + n_calls * 60 * 15.0) / 1e6, 6) AS price FROM s""",
     "parsed_replies": _BATCHES + "SELECT catalog, batch, item, try_cast(llm_pick AS INT) AS pick FROM batched WHERE try_cast(llm_pick AS INT) BETWEEN 0 AND len(c)",
     "json_fields": "SELECT event_id, try_cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "parsed_dates": "SELECT o_orderkey, epoch(date_trunc('second', o_orderdate))::BIGINT AS seconds FROM orders",

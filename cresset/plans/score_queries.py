@@ -118,6 +118,16 @@ def candidate_instruments(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.candidate_instruments(labels, ["row_id"])
 
 
+def full_catalog_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Weighted rates by sorted tokens on the shortlist and on the whole catalog, beside those of the labels."""
+    from cresset.plans.catalog_queries import full_catalog_best
+
+    labels = _labels(spark, folder).where("generated_title is not null").withColumn("query", F.concat_ws("|", "catalog", "generated_title"))
+    joined = labels.join(full_catalog_best(spark, folder), "query", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    predictions = scoring.long_predictions(joined, {"token_sort": "tsort_in", "token_sort_full": "matched"}, "human_in", "catalog", "says")
+    return scoring.reweighted(predictions, _weights(spark, folder), "says")
+
+
 def label_overrides(spark: SparkSession, folder: str) -> DataFrame:
     """Labels corrected by the later labels of the same key."""
     rows = _labels(spark, folder)
@@ -243,6 +253,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion_by_instrument, instrument_agreement, stratum_weights, reweighted_rates, paired_sign_test, minimax_bias, instrument_span, rate_correction, subgroup_error, bootstrap_ci, permutation_p,
-        posterior_interval, candidate_instruments, label_overrides, blind_relabel, labels_with_verdicts, cell_metric_summary, variance_of_means, rate_reductions, metric_long_form, metric_lines, cost_estimate,
+        posterior_interval, candidate_instruments, full_catalog_rates, label_overrides, blind_relabel, labels_with_verdicts, cell_metric_summary, variance_of_means, rate_reductions, metric_long_form, metric_lines, cost_estimate,
     )
 }
