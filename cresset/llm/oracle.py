@@ -34,6 +34,7 @@ ORACLE: dict[str, str] = {
     "p1_found": _KEYED + "SELECT target_set, category FROM report WHERE available < needed",
     "p1_report": _KEYED + "SELECT target_set, category, available, needed, least(available, needed) AS drawn, needed - least(available, needed) AS shortfall FROM report",
     "p6_found": _COPIES + "SELECT keep_id, row_id AS copy_id FROM grouped WHERE row_id <> keep_id",
+    "p6_copies": _COPIES + "SELECT row_id, keep_id, count(*) OVER (PARTITION BY keep_id) AS n_copies FROM grouped",
     "p8_found": r"""
 WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 grams AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM item_words)),
