@@ -18,11 +18,12 @@ _TO_LATIN = str.maketrans(TO_LATIN)
 TO_CYRILLIC = str.maketrans({b: a for a, b in zip(*_CYRILLIC, strict=True)})
 TO_GREEK = str.maketrans({b: a for a, b in zip(*_GREEK, strict=True)})
 
-FULL_WIDTH = "！-｠￠-￦"
-LIGATURES = "ﬀ-ﬆﬓ-ﬗ"
-MARKS = "̀-͎͐-ͯ᪰-᫿᷀-᷿⃐-⃰︠-゙゚︯"
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e01ef"
-SPACES = "   -   　"
+# Ranges of code points, as within brackets of a pattern.
+FULL_WIDTH = "\uff01-\uff60\uffe0-\uffe6"
+LIGATURES = "\ufb00-\ufb06\ufb13-\ufb17"
+MARKS = "\u0300-\u034e\u0350-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f\u3099\u309a"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e01ef"
+SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _SPACES = re.compile(f"[{SPACES}]")

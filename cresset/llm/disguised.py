@@ -21,12 +21,14 @@ from cresset.llm import _lookalikes as L
 
 _MIXED = {"width": f"[{L.FULL_WIDTH}]", "ligature": f"[{L.LIGATURES}]", "mark": f"[{L.MARKS}]", "invisible": f"[{L.INVISIBLE}]", "space": f"[{L.SPACES}]"}
 _WORD = re.compile(r"[^\W_]+")
-_OTHER_LETTER = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}]"
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+#: Neighbouring letters of a word in two of the scripts; matched in one pass, whatever the length of the word.
+_TWO_SCRIPTS = "|".join(rf"\p{{Is{a}}}[\p{{M}}\p{{N}}]*+\p{{Is{b}}}" for a in _SCRIPTS for b in _SCRIPTS if a != b)
 
 
 def suspicious(text: Column) -> Column:
     """Whether a text can hold a finding, by a pattern that needs no Python."""
-    return text.rlike("|".join(_MIXED.values())) | text.rlike(rf"\p{{IsLatin}}[\p{{L}}\p{{M}}\p{{N}}]*{_OTHER_LETTER}|{_OTHER_LETTER}[\p{{L}}\p{{M}}\p{{N}}]*\p{{IsLatin}}|\p{{IsCyrillic}}[\p{{L}}\p{{M}}\p{{N}}]*\p{{IsGreek}}|\p{{IsGreek}}[\p{{L}}\p{{M}}\p{{N}}]*\p{{IsCyrillic}}")
+    return text.rlike("|".join(_MIXED.values())) | text.rlike(_TWO_SCRIPTS)
 
 
 @lru_cache(maxsize=1 << 14)
@@ -41,7 +43,7 @@ def one_script(word: str) -> str:
     """
     scripts = [_script(c) for c in word if c.isalpha()]
     kinds = set(scripts)
-    if len(kinds) < 2 or not kinds <= {"LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE"}:
+    if len(kinds) < 2 or not kinds <= {s.upper() for s in _SCRIPTS}:
         return word
     main = max(sorted(kinds), key=lambda k: (scripts.count(k), k == "LATIN"))
     for target in dict.fromkeys((main, "LATIN")):  # with look-alikes in the majority the word is Latin nevertheless

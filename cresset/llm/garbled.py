@@ -127,7 +127,7 @@ def readings(token: str) -> dict[str, str]:
 
 def is_lost(token: str) -> bool:
     """Whether signs in the token may replace letters that can't be restored."""
-    return "�" in token or bool(_GAP.search(token))
+    return "\ufffd" in token or bool(_GAP.search(token))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -201,7 +201,7 @@ class Model:
 
     def score_lost(self, token: str, own: float) -> float:
         """Log likelihood of a token in which signs stand for unknown letters."""
-        if "�" in token:
+        if "\ufffd" in token:
             return 0.0
         value, before = 0.0, "^"
         signs = [_symbol(c)[0] for c in token] + ["$"]
