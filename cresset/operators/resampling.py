@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Draws that one task makes at once; each block has a seed of its own, so that results don't depend on partitions.
 BLOCK = 1000
+#: Distinct values that a permutation test takes.
+MOST_VALUES = 100_000
 
 
 def _draws(spark, n: int, seed: int, make: Callable[[np.random.Generator, int], np.ndarray]) -> DataFrame:  # noqa: ANN001
@@ -66,11 +68,13 @@ def bootstrap(predictions: DataFrame, statistic: Callable[..., np.ndarray] = f1_
 def permutation_p(values: DataFrame, value: str, group: str, n: int = 20_000, seed: int = 21) -> DataFrame:
     """Two-sided p of a difference of group means under random groups: (observed, p_value), smoothed by one.
 
-    The values are counted by distinct value, and a random group of the same size is a draw without replacement from
+    The values, of which there are few distinct ones such as errors of -1, 0 and 1, are counted by value, and a random group of the same size is a draw without replacement from
     these counts. Rows of null value or group don't count; without rows in both groups p is null.
     """
     rows = values.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group)).alias("a"), F.count("*").alias("n")).orderBy("v").collect()  # distinct values of an error: at most three
+    counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group)).alias("a"), F.count("*").alias("n")).orderBy("v").limit(MOST_VALUES + 1).collect()
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} distinct values; round them first")
     v, a, every = (np.array([r[k] for r in counts], dtype=float) for k in ("v", "a", "n"))
     n_a, total = a.sum(), every.sum()
     spark = values.sparkSession

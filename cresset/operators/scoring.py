@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cresset.functions import similarity
 from cresset.functions.numbers import binomial_tail
@@ -192,7 +191,3 @@ def carried_over(labels: DataFrame, before: DataFrame, key: list[str], columns:
     old = before.groupBy(*key).agg(*(F.first(c).alias(c) for c in columns))
     return labels.join(old, key, "left").withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
 
-
-def window_share(column: str, *by: str) -> Column:
-    """A value over its group's sum."""
-    return F.col(column) / F.sum(column).over(Window.partitionBy(*by))

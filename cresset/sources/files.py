@@ -121,7 +121,7 @@ def built_once(spark: SparkSession, folder: str, name: str, inputs: DataFrame, b
     It is kept under a fingerprint of the inputs: their number, and the sum of their rows' hashes, without order.
     """
     marks = inputs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*inputs.columns).cast("decimal(38,0)")).alias("h")).first()
-    path = os.path.join(folder, f"{name}-{marks.n}-{abs(hash((marks.n, str(marks.h)))) if marks.h is None else str(marks.h).replace('-', 'm')}")
+    path = os.path.join(folder, f"{name}-{marks.n}-{marks.h or 0}")
     if not os.path.exists(os.path.join(path, "_SUCCESS")):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
