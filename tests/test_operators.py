@@ -67,7 +67,8 @@ def _reason(ref, parents):
 def test_orphans_by_brute_force(spark, per_task):
     random.seed(5)
     parents = [(random.choice("xyz"), random.choice(["a", " A ", "b", "c", None, ""]), _t(random.choice([None, 1, 3, 5, 9])), _t(random.choice([None, 2, 4, 8])), "e") for _ in range(25)]
-    refs = [("t", i, random.choice(["x", "y", "z", None]), random.choice(["a", "A\t", "b", "c", "d", "", "  ", None, "a", "a"]), _t(random.choice([None, *range(11)])), "e") for i in range(400)]
+    parents += [("x", "hot", _t(k / 4), _t(k / 4 + 0.1 + (k % 3) / 10), "e") for k in range(60)]
+    refs = [("t", i, random.choice(["x", "y", "z", None]), random.choice(["a", "A\t", "b", "c", "d", "", "  ", None, "a", "hot", "hot"]), _t(random.choice([None, *(k / 8 for k in range(-4, 130))])), "e") for i in range(600)]
     refs += refs[:3]
     found = references.orphan_references(spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT), per_task)
     got = sorted((r.row_id, r.reason) for r in found.collect())
