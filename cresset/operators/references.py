@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cresset.sources.workspace import written
+
 #: References of one key that one task merges; a key with more is split. At most _HOT_KEYS keys can be so hot.
 PER_TASK, _HOT_KEYS = 50_000, 1000
 
@@ -40,7 +42,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, per_task: int = PER_T
     opens = lives.select("scope", "key", F.when(there, F.col("since")).otherwise(F.col("until")).alias("t"), there.cast("long").alias("opened"), always.alias("always"))
     closes = lives.where(there & F.col("until").isNotNull()).select("scope", "key", F.col("until").alias("t"), F.lit(-1).cast("long").alias("opened"), F.lit(0).cast("long").alias("always"))
     steps = opens.union(closes).groupBy("scope", "key", "t").agg(F.sum("opened").alias("opened"), F.sum("always").alias("always")).withColumn("kind", F.lit(0))
-
+    steps = written(steps, "reference-steps")
     limit = max(per_task, (asked.count() // _HOT_KEYS) + 1)
     hot = _hot(asked, limit)
     if hot:
