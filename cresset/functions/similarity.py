@@ -82,6 +82,64 @@ class ManyStrings:
         return np.where(total > 0, 200.0 * self.common(query) / np.maximum(total, 1), 100.0)
 
 
+def common_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """``common_length`` of many pairs, a position of all of them at a time.
+
+    The shorter string of a pair is held as bits; which of them a sign of the longer one stands for is looked up in a
+    sorted list of all (pair, sign). Pairs are worked off by the number of words that their bits take.
+    """
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right)]
+    out = np.zeros(len(pairs), dtype=np.int64)
+    by_words: dict[int, list[int]] = {}
+    for k, (a, _) in enumerate(pairs):
+        if a:
+            by_words.setdefault(-(-len(a) // 64), []).append(k)
+    for words, members in by_words.items():
+        members.sort(key=lambda k: -len(pairs[k][1]))  # those that still have signs come first
+        out[members] = _common_in(words, [pairs[k] for k in members])
+    return out
+
+
+def _common_in(words: int, pairs: list[tuple[str, str]]) -> np.ndarray:
+    n = len(pairs)
+    point = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    short, long = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    owner = np.repeat(np.arange(n), short)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(short) - short, short)
+    keys = owner << 21 | point([a for a, _ in pairs])
+    order = np.argsort(keys, kind="stable")
+    known, first = np.unique(keys[order], return_index=True)
+    bits = np.left_shift(np.uint64(1), (at[order] % 64).astype(np.uint64))
+    hits = np.zeros((words, len(known) + 1), dtype=np.uint64)  # the last is for signs of the other side only
+    for w in range(words):
+        hits[w, :-1] = np.bitwise_or.reduceat(np.where(at[order] // 64 == w, bits, np.uint64(0)), first)
+    signs = np.repeat(np.arange(n), long) << 21 | point([b for _, b in pairs])
+    place = np.searchsorted(known, signs)
+    place = np.where(known[np.minimum(place, len(known) - 1)] == signs, place, len(known))
+    begin = np.cumsum(long) - long
+    active = np.searchsorted(-long, -np.arange(int(long[0])), side="left")
+    rows = np.full((words, n), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for j, m in enumerate(active):
+        here = place[begin[:m] + j]
+        carry: np.ndarray | None = None
+        for w in range(words):
+            row = rows[w, :m]
+            hit = row & hits[w][here]
+            total = row + hit
+            over = total < row
+            if carry is not None:
+                total += carry
+                over |= carry & (total == 0)
+            carry = over
+            rows[w, :m] = total | (row - hit)
+    found = np.zeros(n, dtype=np.int64)
+    for w in range(words):
+        size = np.clip(short - 64 * w, 0, 64)
+        mask = np.where(size == 64, np.iinfo(np.uint64).max, (np.uint64(1) << (size % 64).astype(np.uint64)) - np.uint64(1))
+        found += np.bitwise_count(~rows[w] & mask)
+    return found
+
+
 def indel_ratio(a: str | None, b: str | None, least: float = 0.0) -> float | None:
     """100 times twice the common length over both lengths; two empty strings are equal; null where either is null.
 
@@ -133,29 +191,44 @@ def token_set_ratio(a: str | None, b: str | None) -> float | None:
     return best
 
 
-def _column(function, *columns: Column | str, least: float | None = None) -> Column:  # noqa: ANN001
-    """The function over distinct pairs of each Arrow batch."""
+@F.pandas_udf(T.IntegerType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Common length of each pair, null where either is."""
+    out = pd.Series(pd.NA, index=a.index, dtype="Int32")
+    held = a.notna() & b.notna()
+    if held.any():
+        out[held] = common_lengths(a[held].tolist(), b[held].tolist())
+    return out
 
-    @F.pandas_udf(T.DoubleType())
-    def over(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict = {}
-        out = []
-        for pair in zip(a, b):
-            if pair not in known:
-                known[pair] = function(*pair) if least is None else function(*pair, least)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64").astype(object).where(lambda s: s.notna(), None)
 
-    return over(*columns)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
 
 def indel(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
-    return _column(indel_ratio, a, b, least=least)
+    """``indel_ratio`` as a column. Pairs whose lengths rule out the least ratio, and equal ones, aren't compared."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    total = F.length(a) + F.length(b)
+    apart = 200.0 * F.least(F.length(a), F.length(b)) < least * total
+    value = 200.0 * _common(F.when((a != b) & ~apart, a), b) / total
+    return F.when(a == b, 100.0).when(apart, 0.0).when(a.isNotNull() & b.isNotNull(), F.when(value >= least, value).otherwise(0.0))
 
 
 def token_sort(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
-    return _column(token_sort_ratio, a, b, least=least)
+    """``token_sort_ratio`` as a column."""
+    a, b = (F.array_join(F.array_sort(_words(F.col(c) if isinstance(c, str) else c)), " ") for c in (a, b))
+    return indel(a, b, least)
 
 
 def token_set(a: Column | str, b: Column | str) -> Column:
-    return _column(token_set_ratio, a, b)
+    """``token_set_ratio`` as a column; only what both sides have on their own is compared in Python."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    left, right = F.array_distinct(_words(a)), F.array_distinct(_words(b))
+    text = lambda words: F.array_join(F.array_sort(words), " ")
+    shared, rest_a, rest_b = text(F.array_intersect(left, right)), text(F.array_except(left, right)), text(F.array_except(right, left))
+    head = F.length(shared) + F.when(shared != "", 1).otherwise(0)
+    size_a, size_b = (F.when(rest != "", head + F.length(rest)).otherwise(F.length(shared)) for rest in (rest_a, rest_b))
+    holds = (shared != "") & ((rest_a == "") | (rest_b == ""))
+    compared = 200.0 * (head + _common(F.when(~holds, rest_a), rest_b)) / (size_a + size_b)
+    with_shared = F.when(shared != "", F.greatest(*(200.0 * F.length(shared) / (F.length(shared) + size) for size in (size_a, size_b)))).otherwise(0.0)
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).when(holds, 100.0).when(a.isNotNull() & b.isNotNull(), F.greatest(compared, with_shared))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cresset.functions import similarity
 from cresset.functions.numbers import binomial_tail
-from cresset.functions.text import folded, short_conflict, sort_key, surface_forms, usable, year_of
+from cresset.functions.text import folded, short_conflict, sort_key, usable, with_forms, year_of
 
 CUTOFF = 90.0
 
@@ -20,8 +20,8 @@ def pair_scores(pairs: DataFrame, key: list[str], query: str = "query", title: s
     """
     asked = pairs.select(*key, query, title, kind, folded(query).alias("_q"))
     clash = (F.col(kind) == "film") & F.coalesce(year_of(query) != year_of(title), F.lit(False))
-    forms = asked.where((F.col("_q") != "") & ~clash).withColumn("_form", F.explode(surface_forms(title, kind))).where(~short_conflict("_q", "_form"))
-    ratios = forms.withColumn("_s", similarity.indel(sort_key("_q"), sort_key("_form")))
+    forms = with_forms(asked.where((F.col("_q") != "") & ~clash), title, kind, "_f").where(~short_conflict("_q", "_f"))
+    ratios = forms.withColumn("_s", similarity.indel(sort_key("_q"), sort_key("_f")))
     best = ratios.groupBy(*key).agg(F.max("_s").alias("_best"))
     every = asked.groupBy(*key).agg(F.max("_q").alias("_q"))
     return every.join(best, key, "left").select(*key, F.when(F.col("_q") != "", F.coalesce("_best", F.lit(0.0))).alias("score"))
@@ -186,8 +186,9 @@ def joined_verdicts(labels: DataFrame, verdicts: DataFrame, key: list[str], orde
     return labels.join(last, key)
 
 
-def carried_over(labels: DataFrame, before: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Columns of an earlier result joined to labels, "" where it has none."""
-    old = before.groupBy(*key).agg(*(F.first(c).alias(c) for c in columns))
+def carried_over(labels: DataFrame, before: DataFrame, key: list[str], columns: list[str], order: str) -> DataFrame:
+    """Columns of an earlier result joined to labels, "" where it has none; of several rows of a key all come from the last by ``order``."""
+    last = before.groupBy(*key).agg(F.max_by(F.struct(*columns), order).alias("_row"))
+    old = last.select(*key, *(F.col("_row")[c].alias(c) for c in columns))
     return labels.join(old, key, "left").withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
 

@@ -82,7 +82,7 @@ def folded_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 def surface_forms(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "catalog", "row_id", "catalog", "title")
-    return rows.select("row_id", F.explode(text.surface_forms("title", kind_of(F.col("catalog")))).alias("form"))
+    return text.with_forms(rows, "title", kind_of(F.col("catalog"))).select("row_id", "form").distinct()
 
 
 def _matched(spark: SparkSession, folder: str) -> DataFrame:

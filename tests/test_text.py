@@ -42,6 +42,12 @@ def test_many_at_once_are_one_by_one(texts, query):
     assert many.ratios(query).tolist() == [S.indel_ratio(query, t) for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé 日", max_size=150), st.text("abcé 日x", max_size=150)), max_size=12))
+def test_pairs_at_once_are_one_by_one(pairs):
+    assert S.common_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [S.common_length(a, b) for a, b in pairs]
+
+
 def test_ratios_by_hand():
     assert S.indel_ratio("abcd", "abxd") == 75.0
     assert S.indel_ratio(None, "a") is None and S.indel_ratio("", "") == 100.0
@@ -116,11 +122,13 @@ def test_short_guard_and_year(spark):
     assert [r.y for r in years.select(X.year_of("t").alias("y")).collect()] == ["1999", "0999", None, None]
 
 
-def test_forms():
-    assert X.title_forms("Quarry, The (a.k.a. Pit, A) (1995)", "film") == sorted({"quarry the a k a pit a", "quarry the", "the quarry", "pit a", "a pit"})
-    assert X.title_forms("The Mill - Upper Gate", "place") == sorted({"the mill upper gate", "mill upper gate", "the mill", "mill"})
-    assert X.title_forms("Kit (red) [big]", "product") == sorted({"kit red big", "kit big", "kit red"})
-    assert X.title_forms(None, "film") == [] and X.title_forms("", "film") == []
+def test_forms(spark):
+    cases = [("Quarry, The (a.k.a. Pit, A) (1995)", "film", ["quarry the a k a pit a", "quarry the", "the quarry", "pit a", "a pit"]), ("The Mill - Upper Gate", "place", ["the mill upper gate", "mill upper gate", "the mill", "mill"]), ("Kit (red) [big]", "product", ["kit red big", "kit big", "kit red"]), (None, "film", []), ("", "film", []), ("Été (x) (12) (Ü, La) (1990)", "film", ["ete x 12 u la", "ete", "u la"]), ("7 (Seven) (1995)", "film", ["7 seven", "7", "seven"])]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k, _) in enumerate(cases)], "i int, title string, kind string")
+    got = {}
+    for r in X.with_forms(rows, "title", "kind").distinct().collect():
+        got.setdefault(r.i, []).append(r.form)
+    assert [sorted(got.get(i, [])) for i in range(len(cases))] == [sorted(set(w)) for _, _, w in cases]
 
 
 def test_columns_are_the_functions(spark):
@@ -130,6 +138,8 @@ def test_columns_are_the_functions(spark):
     rows = spark.createDataFrame(pairs, "a string, b string")
     for r in rows.select("a", "b", S.indel("a", "b").alias("i"), S.token_sort("a", "b").alias("o"), S.token_set("a", "b").alias("s")).collect():
         assert (r.i, r.o, r.s) == (S.indel_ratio(r.a, r.b), S.token_sort_ratio(r.a, r.b), S.token_set_ratio(r.a, r.b))
+    for r in rows.select("a", "b", S.indel("a", "b", 80.0).alias("i"), S.token_sort("a", "b", 80.0).alias("o")).where("a is not null and b is not null").collect():
+        assert (r.i, r.o) == (S.indel_ratio(r.a, r.b, 80.0), S.token_sort_ratio(r.a, r.b, 80.0))
     assert rows.limit(0).select(S.indel("a", "b")).count() == 0
 
 
