@@ -30,7 +30,30 @@ common AS (SELECT h FROM owners GROUP BY h HAVING count(*) > 1),
 held AS (SELECT doc_id, h FROM owners SEMI JOIN common USING (h))
 """
 
+_SAMPLE = """
+WITH keyed AS (
+  SELECT 'sampling_frame_1200' AS table_name, 'catalog' AS field_name, row_id, catalog AS k FROM sampling_frame_1200
+  UNION ALL SELECT 'human_labels_201', 'llm_says', row_id, llm_says FROM human_labels_201
+  UNION ALL SELECT 'human_labels_201', 'model', row_id, model FROM human_labels_201),
+bare AS (SELECT table_name, field_name, row_id, lower(trim(k, E' \\t\\n\\r')) AS k FROM keyed WHERE k IS NOT NULL),
+mixed AS (SELECT *, ('0x' || substr(md5(concat_ws('|', '17', table_name, field_name, k, row_id)), 1, 10))::BIGINT AS random FROM bare),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY table_name, field_name, k ORDER BY random, row_id)::HUGEINT AS rank, count(*) OVER (PARTITION BY table_name, field_name, k)::HUGEINT AS available FROM mixed),
+wanted AS (
+  SELECT table_name, field_name, target_set, category, lower(trim(category, E' \\t\\n\\r')) AS k, CAST(round(target_share * sample_size) AS HUGEINT) AS by_share,
+         greatest(CAST(round(target_share * sample_size) AS HUGEINT), min_rows) AS needed, ('0x' || substr(md5('17|' || target_set), 1, 5))::HUGEINT AS start FROM sample_targets),
+first AS (
+  SELECT target_set, category, row_id, rank, available, needed, start, least(by_share, available) AS n,
+         CASE WHEN by_share >= available THEN rank ELSE (rank * by_share + start * available // 1048576) // available END AS upto,
+         CASE WHEN by_share >= available THEN rank - 1 ELSE ((rank - 1) * by_share + start * available // 1048576) // available END AS until
+  FROM ranked JOIN wanted USING (table_name, field_name, k) WHERE needed > 0),
+rest AS (SELECT *, rank - upto AS remaining, available - n AS pool, least(needed, available) - n AS more FROM first),
+again AS (
+  SELECT *, upto = until AND CASE WHEN more >= pool THEN true ELSE (remaining * more + start * pool // 1048576) // pool > ((remaining - 1) * more + start * pool // 1048576) // pool END AS repaired FROM rest)
+SELECT target_set, category, row_id, repaired FROM again WHERE upto > until OR repaired
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_sample": _SAMPLE,
     "p1_found": _KEYED + "SELECT target_set, category FROM report WHERE available < needed",
     "p1_report": _KEYED + "SELECT target_set, category, available, needed, least(available, needed) AS drawn, needed - least(available, needed) AS shortfall FROM report",
     "p6_found": _COPIES + "SELECT keep_id, row_id AS copy_id FROM grouped WHERE row_id <> keep_id",

@@ -18,28 +18,58 @@ def category_key(c: Column) -> Column:
 
 
 def _wanted(targets: DataFrame, match: list[str]) -> DataFrame:
-    """Rows wanted of each category by share, and at least."""
-    return targets.select(*match, "target_set", "category", category_key(F.col("category")).alias("key"), F.round(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0))).cast("long").alias("by_share"), F.coalesce("min_rows", F.lit(0)).cast("long").alias("at_least")).withColumn("needed", F.greatest("by_share", "at_least"))
+    """Rows wanted of each category by share, and at least; a repeated target is one."""
+    return targets.select(*match, "target_set", "category", category_key(F.col("category")).alias("key"), F.round(F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0))).cast("long").alias("by_share"), F.coalesce("min_rows", F.lit(0)).cast("long").alias("at_least")).distinct().withColumn("needed", F.greatest("by_share", "at_least"))
 
 
-def sample_report(frame: DataFrame, targets: DataFrame, key_col: str = "key", match: tuple[str, ...] = ()) -> DataFrame:
-    """Per category of the targets: (target_set, category, available, needed, drawn, shortfall).
+def _number(*parts: Column | str, digits: int) -> Column:
+    """A whole number of so many hexadecimal digits that looks random, from the text of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, digits), 16, 10).cast("long")
 
-    frame: ``key_col`` holds the category of each row; targets: target_set, category, target_share, min_rows,
-    sample_size. Columns named in ``match`` are in both, and targets hold for frame rows equal in them. needed is share times size to the nearest whole number, or min_rows if that is more; drawn is what
-    the rows suffice for. A category without rows has 0 available. Categories are compared without letter case and
-    blanks around them. Null shares, sizes and minimums count as 0. Counts are summed before they are shuffled.
+
+def passed(rank: Column, n: Column, of: Column, start: Column) -> Column:
+    """How many of n draws among ``of`` rows are made up to a rank: the whole numbers that rank * n / of passes, counted from the start.
+
+    start counts millionths (2^-20). Products are decimals, which hold the square of any row count.
     """
+    wide = lambda c: c.cast("decimal(19,0)")
+    first = F.call_function("div", wide(start) * wide(of), F.lit(1 << 20).cast("decimal(19,0)"))
+    return F.when(n >= of, rank).when(of > 0, F.call_function("div", wide(rank) * wide(n) + wide(first), wide(of))).otherwise(0)
+
+
+def _available(frame: DataFrame, id_col: str, key_col: str, seed: int, per_task: int, match: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a key in ranges of their random number, and the counts of the ranges."""
+    by = [*match, "key"]
+    rows = frame.select(*match, F.col(id_col).alias("id"), category_key(F.col(key_col)).alias("key")).where("key is not null")
+    ranges = max(1, -(-rows.count() // per_task))
+    random = _number(F.lit(str(seed)), *(F.col(c).cast("string") for c in (*by, "id")), digits=10)
+    ordered = rows.withColumn("random", random).withColumn("range", F.floor(F.col("random") * ranges / (1 << 40)).cast("int"))
+    return ordered, written(ordered.groupBy(*by, "range").agg(F.count("*").alias("n")), "sample-counts")
+
+
+def _drawn(ordered: DataFrame, counts: DataFrame, targets: DataFrame, seed: int, match: list[str]) -> DataFrame:
+    """(*match, target_set, category, id, repaired) of the rows drawn."""
     by = [*match, "key"]
-    counts = frame.select(*match, category_key(F.col(key_col)).alias("key")).groupBy(*by).agg(F.count("*").alias("available"))
-    joined = _wanted(targets, list(match)).join(counts, by, "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    drawn = F.least("available", "needed")
-    return joined.select("target_set", "category", "available", "needed", drawn.alias("drawn"), (F.col("needed") - drawn).alias("shortfall"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*by).orderBy("range")) - F.col("n")).withColumn("available", F.sum("n").over(Window.partitionBy(*by))).drop("n")
+    ranked = ordered.withColumn("in_range", F.row_number().over(Window.partitionBy(*by, "range").orderBy("random", "id"))).join(before, [*by, "range"]).withColumn("rank", F.col("before") + F.col("in_range"))
+    joined = ranked.join(_wanted(targets, match).where("needed > 0"), by)
+    start = _number(F.lit(str(seed)), "target_set", digits=5)
+    first = F.least("by_share", "available")
+    upto, until = (passed(rank, first, F.col("available"), start) for rank in (F.col("rank"), F.col("rank") - 1))
+    rest = joined.withColumns({"is_first": upto > until, "left": F.col("rank") - upto, "of": F.col("available") - first, "more": F.least("needed", "available") - first})
+    again = [passed(left, F.col("more"), F.col("of"), start) for left in (F.col("left"), F.col("left") - 1)]
+    is_more = ~F.col("is_first") & (again[0] > again[1])
+    drawn = rest.withColumn("repaired", is_more).where(F.col("is_first") | is_more)
+    return drawn.select(*match, "target_set", "category", "id", "repaired")
 
 
 def draw_sample(frame: DataFrame, targets: DataFrame, id_col: str = "row_id", key_col: str = "key", seed: int = 17, per_task: int = PER_TASK, match: tuple[str, ...] = ()) -> DataFrame:
     """Systematic unequal-probability sample for each target set: (target_set, category, id_col, repaired).
 
+    frame: ``key_col`` holds the category of each row; targets: target_set, category, target_share, min_rows,
+    sample_size. Columns named in ``match`` are in both, and targets hold for frame rows equal in them. Categories are
+    compared without letter case and blanks around them. Null shares, sizes and minimums count as 0.
+
     Every row of a category has the inclusion probability by_share / available. The rows are put in random order
     within their sorted categories, the probabilities summed up along them, and a row is drawn where the sum passes
     one random start plus a whole number. Shares are whole rows, so the sum over each category is whole too and the
@@ -51,29 +81,21 @@ def draw_sample(frame: DataFrame, targets: DataFrame, id_col: str = "row_id", ke
     own; ties of the random number are resolved by the id. Rows with null category are in no sample; an empty frame
     gives an empty sample; other columns aren't read.
     """
-    by = [*match, "key"]
-    rows = frame.select(*match, F.col(id_col).alias("id"), category_key(F.col(key_col)).alias("key")).where("key is not null")
-    random = F.pmod(F.xxhash64(F.lit(seed), *by, "id"), F.lit(1 << 40))
-    total = rows.count()
-    ranges = max(1, -(-total // per_task))
-    ordered = rows.withColumns({"random": random, "range": F.floor(random * ranges / (1 << 40)).cast("int")})
-    counts = written(ordered.groupBy(*by, "range").agg(F.count("*").alias("n")), "sample-counts")
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*by).orderBy("range")) - F.col("n")).withColumn("available", F.sum("n").over(Window.partitionBy(*by))).drop("n")
-    ranked = ordered.withColumn("in_range", F.row_number().over(Window.partitionBy(*by, "range").orderBy("random", "id"))).join(before, [*by, "range"]).withColumn("rank", F.col("before") + F.col("in_range"))
-    joined = ranked.join(_wanted(targets, list(match)).where("needed > 0"), by)
-    start = F.pmod(F.xxhash64(F.lit(seed), "target_set"), F.lit(1 << 20)) / (1 << 20)
-
-    def passed(rank: Column, n: Column, of: Column) -> Column:
-        """Draws up to a rank: whole numbers passed by rank * n / of, from the start on."""
-        return F.when(n >= of, rank).when(of > 0, _div(rank * n + F.floor(start * of), of)).otherwise(0)
-
-    first = F.least("by_share", "available")
-    upto, until = passed(F.col("rank"), first, F.col("available")), passed(F.col("rank") - 1, first, F.col("available"))
-    rest = joined.withColumns({"is_first": upto > until, "left": F.col("rank") - upto, "of": F.col("available") - first, "more": F.least("needed", "available") - first})
-    is_more = ~F.col("is_first") & (passed(F.col("left"), F.col("more"), F.col("of")) > passed(F.col("left") - 1, F.col("more"), F.col("of")))
-    drawn = rest.withColumn("repaired", is_more).where(F.col("is_first") | is_more)
+    ordered, counts = _available(frame, id_col, key_col, seed, per_task, list(match))
+    drawn = _drawn(ordered, counts, targets, seed, list(match))
     return drawn.select("target_set", "category", F.col("id").alias(id_col), "repaired")
 
 
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+def sample_report(frame: DataFrame, targets: DataFrame, id_col: str = "row_id", key_col: str = "key", seed: int = 17, per_task: int = PER_TASK, match: tuple[str, ...] = ()) -> DataFrame:
+    """Per category of the targets: (target_set, category, available, needed, drawn, shortfall), of the sample that is drawn.
+
+    needed is share times size to the nearest whole number, or min_rows if that is more; drawn counts the rows of
+    ``draw_sample`` with the same arguments, of which shortfall lacks some. A category without rows has 0 available.
+    """
+    named = [*match, "target_set", "category"]
+    ordered, counts = _available(frame, id_col, key_col, seed, per_task, list(match))
+    drawn = _drawn(ordered, counts, targets, seed, list(match)).groupBy(*named).agg(F.count("*").alias("drawn"))
+    available = counts.groupBy(*match, "key").agg(F.sum("n").alias("available"))
+    joined = _wanted(targets, list(match)).join(available, [*match, "key"], "left").join(drawn, named, "left")
+    of = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("target_set", "category", of("available"), "needed", of("drawn"), (F.col("needed") - F.coalesce("drawn", F.lit(0))).alias("shortfall"))

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cresset.llm import sampling as S
 
 TARGETS = "target_set string, category string, target_share double, min_rows long, sample_size long, key string"
@@ -53,3 +55,18 @@ def test_targets_hold_for_their_own_field(spark):
     targets = spark.createDataFrame([("f", "s", "a", 1.0, 1, 2), ("g", "t", "a", 1.0, 1, 2)], "field_name string, target_set string, category string, target_share double, min_rows long, sample_size long")
     assert {r.target_set: r.shortfall for r in S.sample_report(frame, targets, match=("field_name",)).collect()} == {"s": 0, "t": 1}
     assert Counter(r.target_set for r in S.draw_sample(frame, targets, match=("field_name",)).collect()) == {"s": 2, "t": 1}
+
+
+def test_counts_of_any_size(spark):
+    rows = spark.createDataFrame([(4 * 10**9, 3 * 10**9, 4 * 10**9 + 1, 5), (10**13, 10**12, 10**13 + 7, (1 << 20) - 1), (0, 5, 10, 7), (7, 5, 5, 7), (3, 0, 0, 7)], "rank long, n long, of long, start long")
+    got = [r.p for r in rows.select(S.passed(F.col("rank"), F.col("n"), F.col("of"), F.col("start")).alias("p")).collect()]
+    want = [(r.rank * r.n + (r.start * r.of >> 20)) // r.of if r.n < r.of else r.rank for r in rows.collect()[:4]]
+    assert got[:4] == want and got[4] == 3
+
+
+def test_the_report_counts_the_sample(spark):
+    frame = spark.createDataFrame([(k, "ab"[k % 7 == 0]) for k in range(500)], "row_id long, key string")
+    targets = spark.createDataFrame([("s", "a", 0.5, 1, 100, ""), ("s", "b", 0.5, 80, 100, ""), ("s", "b", 0.5, 80, 100, "again")], TARGETS)
+    sample = Counter(r.category for r in S.draw_sample(frame, targets).collect())
+    report = {r.category: (r.drawn, r.shortfall) for r in S.sample_report(frame, targets).collect()}
+    assert report == {"a": (50, 0), "b": (72, 8)} and sample == {"a": 50, "b": 72}
