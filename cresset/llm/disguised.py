@@ -18,17 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cresset.llm import _lookalikes as L
+from cresset.sources.workspace import written
 
 _MIXED = {"width": f"[{L.FULL_WIDTH}]", "ligature": f"[{L.LIGATURES}]", "mark": f"[{L.MARKS}]", "invisible": f"[{L.INVISIBLE}]", "space": f"[{L.SPACES}]"}
 _WORD = re.compile(r"[^\W_]+")
 _SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
 #: Neighbouring letters of a word in two of the scripts; matched in one pass, whatever the length of the word.
 _TWO_SCRIPTS = "|".join(rf"\p{{Is{a}}}[\p{{M}}\p{{N}}]*+\p{{Is{b}}}" for a in _SCRIPTS for b in _SCRIPTS if a != b)
+_OTHER_SCRIPT = "[" + "".join(rf"\p{{Is{s}}}" for s in _SCRIPTS[1:]) + "]"
 
 
 def suspicious(text: Column) -> Column:
-    """Whether a text can hold a finding, by a pattern that needs no Python."""
-    return text.rlike("|".join(_MIXED.values())) | text.rlike(_TWO_SCRIPTS)
+    """Whether a text can hold a finding, by patterns that need no Python; the cheaper ones first rule most texts out."""
+    signs = text.rlike("[" + "".join(p[1:-1] for p in _MIXED.values()) + "]")
+    return text.rlike(r"[^\x00-\x7f]") & (signs | (text.rlike(_OTHER_SCRIPT) & text.rlike(_TWO_SCRIPTS)))
 
 
 @lru_cache(maxsize=1 << 14)
@@ -64,37 +67,61 @@ def findings_of(text: str) -> tuple[list[str], str, list[tuple[str, str]]]:
     return found + ["look-alike"] * bool(mixed), plain, mixed
 
 
+def pieces_of(text: str) -> list[str]:
+    """The words of a text and what stands between them; together they are the text."""
+    return re.findall(r"[^\W_]+|[\W_]+", text)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text in lower case, for the vocabulary."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
 
 
-def unify(values: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The values that hold findings, in one form: (*keep, text, unified, findings, unrepaired).
+_MIXED_WORD = T.StructType([T.StructField("word", T.StringType()), T.StructField("repaired", T.StringType())])
 
-    keep names the columns that identify a value. findings lists width, ligature, mark, invisible, space and
-    look-alike; unrepaired counts mixed words whose form in one script no text of the corpus holds, which stay as
-    they are. Null, empty and ordinary texts don't come out, repeated rows come out each. Precomposed accents,
-    typographic signs and words wholly in another script are no finding. Texts are handled whole.
+
+def disguised_values(values: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The values that hold findings: (*keep, text, plain, findings, mixed, pieces), each once and in any order.
+
+    plain is the text without all but its look-alike letters; mixed lists the words that mix scripts with their form
+    in one script, and pieces what the plain text is made of if there are any.
     """
-    schema = T.StructType([*(values.schema[c] for c in keep), *(T.StructField(c, T.StringType()) for c in ("text", "plain")), T.StructField("findings", T.ArrayType(T.StringType())), T.StructField("mixed", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("repaired", T.StringType())])))])
-    to_arrow = pa.list_(pa.struct([("word", pa.string()), ("repaired", pa.string())]))
+    names = ("text", "plain", "findings", "mixed", "pieces")
+    types = (T.StringType(), T.StringType(), T.ArrayType(T.StringType()), T.ArrayType(_MIXED_WORD), T.ArrayType(T.StringType()))
+    schema = T.StructType([*(values.schema[c] for c in keep), *map(T.StructField, names, types)])
+    arrow = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("word", pa.string()), ("repaired", pa.string())])), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            results = [(k, *findings_of(t)) for k, t in enumerate(texts)]
-            rows = [r for r in results if r[1]]
-            kept = batch.select(list(range(1, batch.num_columns))).take(pa.array([r[0] for r in rows], type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([texts[r[0]] for r in rows], type=pa.string()), pa.array([r[2] for r in rows], type=pa.string()), pa.array([r[1] for r in rows], type=pa.list_(pa.string())), pa.array([[{"word": a, "repaired": b} for a, b in r[3]] for r in rows], type=to_arrow)], names=schema.names)
+            rows: list[int] = []
+            columns: tuple[list, ...] = ([], [], [], [], [])
+            for k, text in enumerate(batch.column(0).to_pylist()):
+                found, plain, mixed = findings_of(text)
+                if found:
+                    rows.append(k)
+                    for column, value in zip(columns, (text, plain, found, [{"word": a, "repaired": b} for a, b in mixed], pieces_of(plain) if mixed else None)):
+                        column.append(value)
+            kept = batch.select(list(range(1, batch.num_columns))).take(pa.array(rows, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, columns, arrow)], names=schema.names)
 
-    found = values.where(suspicious(F.col(text_col))).select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
+    return values.where(suspicious(F.col(text_col))).select(F.col(text_col).alias("_text"), *keep).mapInArrow(run, schema)
+
+
+def unify(values: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The values that hold findings, in one form: (*keep, text, unified, findings, unrepaired).
+
+    keep names the columns that identify a value. findings lists width, ligature, mark, invisible, space and
+    look-alike; unrepaired counts mixed words whose form in one script no text of the corpus holds, which stay as
+    they are, word by word. Null, empty and ordinary texts don't come out, repeated rows come out each. Precomposed
+    accents, typographic signs and words wholly in another script are no finding. Texts are handled whole.
+    """
+    found = written(disguised_values(values, keep, text_col).withColumn("_value", F.monotonically_increasing_id()), "disguised-values")
     asked = found.select(F.explode("mixed.repaired").alias("repaired")).select(F.lower("repaired").alias("word")).distinct()
     vocabulary = values.select(F.explode(words_of(F.col(text_col))).alias("word"))
     known = vocabulary.join(asked, "word", "left_semi").distinct()
-    numbered = found.withColumn("value", F.xxhash64(*keep, "text"))
-    repairs = numbered.where(F.size("mixed") > 0).select("value", F.explode("mixed").alias("m")).distinct().join(known.select(F.col("word").alias("known")), F.lower("m.repaired") == F.col("known"), "left")
-    per_value = repairs.groupBy("value").agg(F.collect_set(F.when(F.col("known").isNotNull(), F.col("m"))).alias("repairs"), F.count_if(F.col("known").isNull()).cast("long").alias("unrepaired"))
-    joined = numbered.join(per_value, "value", "left")
-    unified = F.aggregate(F.coalesce("repairs", F.array()), F.col("plain"), lambda text, m: F.replace(text, m["word"], m["repaired"]))
+    repairs = found.select("_value", F.explode("mixed").alias("m")).join(known.select(F.col("word").alias("known")), F.lower("m.repaired") == F.col("known"), "left")
+    per_value = repairs.groupBy("_value").agg(F.map_from_entries(F.collect_list(F.when(F.col("known").isNotNull(), F.struct("m.word", "m.repaired")))).alias("repairs"), F.count_if(F.col("known").isNull()).cast("long").alias("unrepaired"))
+    joined = found.join(per_value, "_value", "left")
+    repaired = F.array_join(F.transform("pieces", lambda piece: F.coalesce(F.element_at("repairs", piece), piece)), "")
+    unified = F.when(F.col("pieces").isNotNull(), repaired).otherwise(F.col("plain"))
     return joined.select(*keep, "text", unified.alias("unified"), "findings", F.coalesce("unrepaired", F.lit(0)).cast("long").alias("unrepaired"))

@@ -77,12 +77,17 @@ def _titles(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.union, [t.select(F.lit(n).alias("table_name"), F.lit(c).alias("field_name"), "row_id", F.col("catalog").alias("source"), F.col(c).alias("text")) for t, n, c in parts])
 
 
-def _disguised(values: DataFrame) -> DataFrame:
-    """Values that hold other characters, without garbled ones."""
-    key = ["table_name", "field_name", "row_id"]
+_VALUE = ["table_name", "field_name", "row_id"]
+
+
+def _garbled_titles(values: DataFrame) -> DataFrame:
     titles = values.where("field_name = 'title'")
-    broken = garbled.repair(titles, garbled.learn(titles), key).select(*key)
-    return disguised.unify(values, key).join(broken, key, "left_anti")
+    return garbled.repair(titles, garbled.learn(titles), _VALUE).select(*_VALUE)
+
+
+def _disguised(values: DataFrame) -> DataFrame:
+    """Values that hold other characters, in one form, without garbled ones."""
+    return disguised.unify(values, _VALUE).join(_garbled_titles(values), _VALUE, "left_anti")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +101,9 @@ def p5_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Every verdict that has a group, with the record kept of it and the number of copies."""
-    other = written(_disguised(_titles(spark, folder)).where("table_name = 'verdicts'").select("row_id"), "disguised-verdicts")
+    values = _titles(spark, folder)
+    found = disguised.disguised_values(values.where("table_name = 'verdicts'"), _VALUE).select(*_VALUE)  # their one form isn't needed here
+    other = written(found.join(_garbled_titles(values), _VALUE, "left_anti").select("row_id"), "disguised-verdicts")
     verdicts = table(spark, folder, "verdicts", "row_id", "catalog", "model", "in_catalog", "title").join(other, "row_id", "left_anti")
     return formatting.copies(verdicts, ["catalog", "model", "in_catalog"], "title")
 

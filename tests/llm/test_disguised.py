@@ -37,6 +37,13 @@ def test_look_alikes_are_repaired_only_to_known_words(spark):
     assert got["Tіdе"].unified == "Tide" and got["Tіdе"].unrepaired == 0
 
 
+def test_only_the_word_itself_is_replaced(spark):
+    """A word of which another known word is a part stays as it is."""
+    got = _unified(spark, ["xаt xаty", "xat", "zxаt_xаt"])
+    assert got["xаt xаty"].unified == "xat xаty" and got["xаt xаty"].unrepaired == 1
+    assert got["zxаt_xаt"].unified == "zxаt_xat" and got["zxаt_xаt"].unrepaired == 1
+
+
 def test_nulls_repeats_long_and_empty(spark):
     rows = [(1, None, ""), (2, "a​b", ""), (2, "a​b", ""), (3, "y" * 50_000 + " z", "")]
     df = spark.createDataFrame(rows, SCHEMA)
