@@ -37,5 +37,11 @@ def test_groups_by_brute_force(spark, per_task, monkeypatch):
     assert sorted(map(tuple, got.collect())) == _brute(rows)
 
 
+def test_the_rest_takes_one_shuffle(spark):
+    df = spark.createDataFrame([(k, "m", True, f"Old Mill {k % 7}", "", 0) for k in range(50)], SCHEMA)
+    plan = P.copies(df, ["model", "flag"], "title")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) == 1 and len(re.findall(r"\bSort ", plan)) == 1, plan
+
+
 def test_empty(spark):
     assert P.copies(spark.createDataFrame([], SCHEMA), ["model"], "title").count() == 0
