@@ -36,7 +36,7 @@ def _made(n_docs=60, n_items=90):
     return docs, items
 
 
-def test_leaks_by_brute_force(spark):
+def test_leaks_by_brute_force(spark, monkeypatch):
     docs, items = _made()
     items += [(500, None), (501, ""), (502, "w1 w2"), (1, items[1][1])]
     docs += [(900, None), (901, ""), (902, "..."), (0, docs[0][1]), (903, items[5][1] + " x " + items[6][1])]
@@ -44,10 +44,15 @@ def test_leaks_by_brute_force(spark):
     i = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
     want = _brute(docs, items, 13)
     assert len(want) >= 10
-    for size in (L.INDEX_BYTES, 900):  # in several blocks of items
+    scores = []
+    for size, kept in ((L.INDEX_BYTES, L._KEPT), (900, L._KEPT), (200, 5000)):  # in one part, in several, in many for small portions of texts
+        monkeypatch.setattr(L, "_KEPT", kept)
         got = L.leaked_items(d, i, index_bytes=size)
         assert got.columns == ["doc_id", "item_id", "score"]
-        assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted(want)
+        rows = got.collect()
+        assert sorted((r.doc_id, r.item_id) for r in rows) == sorted(want)
+        scores.append(sorted(map(tuple, rows)))
+    assert scores[0] == scores[1] == scores[2]
 
 
 def test_every_run_reaches_its_threshold():
