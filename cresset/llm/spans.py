@@ -3,10 +3,11 @@
 Of each text only the k-mers at minimizers are taken: the position of the least hash of every window of starts.
 Window and k-mer together are as long as the wanted span, so that a shared span holds a shared k-mer. These are the
 edges of a de Bruijn graph in which one k-mer follows another if it comes next in a text. Edges found in one text
-only are dropped, and paths without branches compact to one edge whose occurrences are known to share the whole
-path. A path as long as the span settles its texts; shorter ones are extended by their texts to both sides. Where a
-short path has many occurrences these are split by all windows of the wanted length around it, whose groups then
-share the span, instead of being compared pair by pair.
+only are dropped, and paths without branches compact to one edge. What lies at and beside the occurrences of the paths
+that several texts hold is then cut out of the texts, in one pass. A path as long as the span settles the texts that
+have the same SHA-256 of its text; shorter ones are extended by their texts to both sides. Where a short path has many
+occurrences these are split by all windows of the wanted length around it, whose groups then share the span, instead
+of being compared pair by pair.
 """
 
 from __future__ import annotations
@@ -79,6 +80,26 @@ def _least(keys: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(behind[: n - window + 1], ahead[window - 1 : n])
 
 
+def minimizers(grams: np.ndarray, window: int, last: np.ndarray) -> np.ndarray:
+    """Positions that hold the least hash of some window, the first of equal ones. Windows that begin behind their ``last`` start don't count.
+
+    A position is least in a window if it equals the largest of the least values of the windows it lies in. Where the
+    one before has the same value, it is the first in none but the windows that begin between the two.
+    """
+    low = _least(grams, window)
+    low[np.arange(len(low)) > last] = 0
+    around = np.zeros(len(grams) + window, dtype=np.uint64)
+    around[window - 1 : window - 1 + len(low)] = low
+    at = np.flatnonzero(grams == ~_least(~around[:-1], window))
+    same = np.flatnonzero((grams[at[1:]] == grams[at[:-1]]) & (at[1:] - at[:-1] < window)) + 1
+    if len(same):
+        held = np.append(around[window - 1 :], np.zeros(window + 1, dtype=np.uint64))
+        bounds = np.stack([at[same - 1] + 1, at[same] + 1], axis=1).ravel()
+        first = np.maximum.reduceat(held, bounds)[::2] == grams[at[same]]
+        at = np.delete(at, same[~first])
+    return at
+
+
 def anchors(points: np.ndarray, lengths: np.ndarray, span: int = SPAN, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text index, position and k-mer hash of the minimizers of texts that lie one behind another in ``points``."""
     none = np.zeros(0, dtype=np.int64)
@@ -86,16 +107,9 @@ def anchors(points: np.ndarray, lengths: np.ndarray, span: int = SPAN, window: i
         return none, none, none.astype(np.uint64)
     hashes = Hashes(points)
     grams = hashes.all(gram)
-    bits = int(len(grams)).bit_length()
-    keys = (grams & ~np.uint64((1 << bits) - 1)) | np.arange(len(grams), dtype=np.uint64)
-    least = (_least(keys, window) & np.uint64((1 << bits) - 1)).astype(np.int64)
     ends = np.cumsum(lengths)
     text = np.repeat(np.arange(len(lengths)), lengths)
-    fits = np.arange(len(least)) + (window + gram - 1) <= ends[text[: len(least)]]
-    least = least[fits]
-    at = least[np.concatenate([[True], least[1:] != least[:-1]])] if len(least) else none
-    if len(at):
-        at = np.unique(at)
+    at = minimizers(grams, window, ends[text[: len(grams) - window + 1]] - (window + gram - 1))
     kmer = span - window + 1
     at = at[at + kmer <= ends[text[at]]]
     return text[at], at - (ends - lengths)[text[at]], hashes.at(at, kmer)
@@ -134,7 +148,7 @@ def _kmers(docs: DataFrame, span: int) -> DataFrame:
 
 def _paths(docs: DataFrame, span: int) -> DataFrame:
     """Occurrences of compacted paths: (path, id, start, size); the text at start of that size is equal in all of them."""
-    kmers = _kmers(docs, span)
+    kmers = written(_kmers(docs, span), "span-kmers")
     repeated = kmers.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1").select("kmer")
     edges = written(kmers.join(repeated, "kmer", "left_semi"), "span-edges")
     along = Window.partitionBy("id").orderBy("pos")
@@ -150,10 +164,17 @@ def _paths(docs: DataFrame, span: int) -> DataFrame:
     return numbered.groupBy("id", "part").agg(F.min_by("kmer", "pos").alias("path"), F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + kmer).alias("size")).select("path", "id", "start", "size")
 
 
-def _pairs(rows: DataFrame, key: str, *carried: str) -> DataFrame:
-    """Rows of equal key and different id, the smaller id first; large groups are made by several tasks."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), (F.min("id") != F.max("id")).alias("several")).where("several").select(key, F.ceil(F.col("n") / _PER_SALT).cast("int").alias("salts"))
-    held = rows.join(sizes, key)
+def _pairs(rows: DataFrame, key: str, *carried: str, once: bool = False) -> DataFrame:
+    """Rows of equal key and different id, the smaller id first; large groups are made by several tasks.
+
+    With ``once``, of groups that have the same ids only one is made. They are told by their size and by two sums over
+    hashes of the ids, 128 bits.
+    """
+    marks = [F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark"), F.bit_xor(F.xxhash64(F.lit("ids"), "id")).alias("mark2")] if once else []
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), (F.min("id") != F.max("id")).alias("several"), *marks).where("several")
+    if once:
+        sizes = sizes.groupBy("n", "mark", "mark2").agg(F.min(key).alias(key))
+    held = rows.join(sizes.select(key, F.ceil(F.col("n") / _PER_SALT).cast("int").alias("salts")), key)
     left = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     right = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     names = ("id", *carried)
@@ -162,12 +183,19 @@ def _pairs(rows: DataFrame, key: str, *carried: str) -> DataFrame:
     return a.join(b, [key, "salt"]).where("id_a < id_b")
 
 
-def _around(docs: DataFrame, wanted: DataFrame, reach: Column) -> DataFrame:
-    """Adds to rows with id, start and size the text around them: left, core and right."""
+def _around(docs: DataFrame, wanted: DataFrame, span: int, reach: Column, head: Column, tail: Column) -> DataFrame:
+    """Adds to occurrences of paths (id, start, size) a digest of their text, its beginning and end, and the text beside it.
+
+    head and tail have ``span`` characters at most and are null where these aren't needed, left and right have as many
+    as ``reach``. Only what is cut out of a text goes on from here.
+    """
     cut = wanted.withColumn("reach", reach).join(docs, "id")
     begin = F.greatest(F.col("start") - F.col("reach"), F.lit(0))
+    end, short = F.col("start") + F.col("size"), F.least(F.col("size"), F.lit(span))
     piece = lambda at, size: F.col("text").substr(at + 1, size)
-    return cut.select(*wanted.columns, piece(begin, F.col("start") - begin).alias("left"), piece(F.col("start"), F.col("size")).alias("core"), piece(F.col("start") + F.col("size"), F.col("reach")).alias("right"))
+    sides = {"left": piece(begin, F.col("start") - begin), "right": piece(end, F.col("reach"))}
+    inside = {"digest": F.sha2(piece(F.col("start"), F.col("size")), 256)} | {n: F.when(needed, piece(at, short)) for n, (needed, at) in {"head": (head, F.col("start")), "tail": (tail, end - short)}.items()}
+    return cut.select(*wanted.columns, *(c.alias(n) for n, c in (sides | inside).items()))
 
 
 def _common(a: str, b: str) -> int:
@@ -217,44 +245,47 @@ def shared_pairs(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     equal id aren't paired with each other; an empty table gives an empty one; other columns aren't read.
     """
     texts = _prepared(docs, id_col, text_col, span)
-    paths = written(_paths(texts, span), "span-paths")
-    few, many = _split(paths.where(F.col("size") < span), in_pairs)
-    settled = written(_pairs(paths.where(F.col("size") >= span).select("path", "id").distinct(), "path").select("id_a", "id_b").distinct(), "span-pairs")
-    reach = F.lit(span) - F.col("size")
-    doubtful = written(_pairs(few, "path", "start", "size").drop("path", "salt", "size_b").join(settled, ["id_a", "id_b"], "left_anti"), "span-doubtful")
-    sides = [doubtful.select(F.col(f"id_{x}").alias("id"), F.col(f"start_{x}").alias("start"), F.col("size_a").alias("size")) for x in "ab"]
-    around = _around(texts, sides[0].union(sides[1]).distinct(), reach)
-    near = doubtful
+    paths = _several(_paths(texts, span), in_pairs)
+    is_long = F.col("size") >= span
+    held = written(_around(texts, paths, span, F.greatest(F.lit(span) - F.col("size"), F.lit(0)), ~is_long & F.col("is_crowded"), F.lit(False)), "span-contexts")
+    same_text = held.where(is_long).select(F.concat("path", F.lit(" "), "digest").alias("path"), "id").distinct()
+    settled = written(_pairs(same_text, "path", once=True).select("id_a", "id_b").distinct(), "span-pairs")
+    few = held.where(~is_long & ~F.col("is_crowded"))
+    doubtful = _pairs(few.select("path", "id", "start", "digest"), "path", "start", "digest").where("digest_a = digest_b").join(settled, ["id_a", "id_b"], "left_anti")
+    near = doubtful.select("path", "id_a", "start_a", "id_b", "start_b")
     for x in "ab":
-        near = near.join(around.select(F.col("id").alias(f"id_{x}"), F.col("start").alias(f"start_{x}"), F.col("size").alias("size_a"), *(F.col(c).alias(f"{c}_{x}") for c in ("left", "core", "right"))), [f"id_{x}", f"start_{x}", "size_a"])
-    near = near.where("core_a = core_b").withColumn("more", _extended("left_a", "left_b", "right_a", "right_b"))
-    by_text = near.where(F.col("more.left") + F.col("size_a") + F.col("more.right") >= span).select("id_a", "id_b").distinct()
-    crowded = _around(texts, many, reach).withColumn("around", F.concat("left", "core", "right"))
-    by_window = _pairs(_windows(crowded, span).select("window", "id").distinct(), "window").select("id_a", "id_b")
+        sides = few.select("path", F.col("id").alias(f"id_{x}"), F.col("start").alias(f"start_{x}"), "size", F.col("left").alias(f"left_{x}"), F.col("right").alias(f"right_{x}"))
+        near = near.join(sides if x == "a" else sides.drop("size"), ["path", f"id_{x}", f"start_{x}"])
+    reached = near.withColumn("more", _extended("left_a", "left_b", "right_a", "right_b"))
+    by_text = reached.where(F.col("more.left") + F.col("size") + F.col("more.right") >= span).select("id_a", "id_b").distinct()
+    crowded = held.where(~is_long & F.col("is_crowded")).select("id", F.lit(0).alias("start"), F.concat("left", "head", "right").alias("around"))
+    by_window = _pairs(_windows(crowded, span).select("window", "id").distinct(), "window", once=True).select("id_a", "id_b")
     return settled.union(by_text).union(by_window).distinct()
 
 
-def _split(paths: DataFrame, in_pairs: int) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of paths that several records hold: of those with few occurrences and of the others."""
-    counted = paths.groupBy("path").agg(F.count("*").alias("n"), (F.min("id") != F.max("id")).alias("several")).where("several")
-    return tuple(paths.join(counted.where(c).select("path"), "path", "left_semi") for c in (F.col("n") <= in_pairs, F.col("n") > in_pairs))
+def _several(paths: DataFrame, in_pairs: int) -> DataFrame:
+    """Occurrences of the paths that several records hold, and whether there are more of them than are compared in pairs."""
+    paths = written(paths, "span-paths")
+    counted = paths.groupBy("path").agg((F.count("*") > in_pairs).alias("is_crowded"), (F.min("id") != F.max("id")).alias("several")).where("several").drop("several")
+    return paths.join(counted, "path")
 
 
 def _shared_ranges(texts: DataFrame, paths: DataFrame, span: int, in_pairs: int) -> DataFrame:
     """(id, start, stop) of spans that another record holds; together they cover all of them."""
-    few, many = _split(paths, in_pairs)
     reach = F.greatest(F.lit(span) - F.col("size"), F.lit(WINDOW + GRAM))
-    pairs = _pairs(_around(texts, few, reach).drop("core"), "path", "start", "size", "left", "right").withColumn("more", _extended("left_a", "left_b", "right_a", "right_b"))
+    around = written(_around(texts, _several(paths, in_pairs), span, reach, F.col("is_crowded"), F.col("is_crowded") & (F.col("size") >= span)), "span-contexts")
+    few, crowded = around.where("not is_crowded"), around.where("is_crowded")
+    pairs = _pairs(few, "path", "start", "size", "digest", "left", "right").where("digest_a = digest_b").withColumn("more", _extended("left_a", "left_b", "right_a", "right_b"))
     held = pairs.where(F.col("more.left") + F.col("size_a") + F.col("more.right") >= span)
     ends = lambda x: held.select(F.col(f"id_{x}").alias("id"), (F.col(f"start_{x}") - F.col("more.left")).alias("start"), (F.col(f"start_{x}") + F.col(f"size_{x}") + F.col("more.right")).alias("stop"))
-    crowded = _around(texts, many, reach)
     long = crowded.where(F.col("size") >= span)
-    inside = long.select("id", "start", (F.col("start") + F.col("size")).alias("stop"))
+    of_text = long.groupBy("path", "digest").agg((F.min("id") != F.max("id")).alias("several")).where("several").drop("several")
+    inside = long.join(of_text, ["path", "digest"], "left_semi").select("id", "start", (F.col("start") + F.col("size")).alias("stop"))
     begin = F.col("start") - F.length("left")
     borders = [
-        crowded.where(F.col("size") < span).select("id", begin.alias("start"), F.concat("left", "core", "right").alias("around")),
-        long.select("id", begin.alias("start"), F.concat("left", F.substring("core", 1, span)).alias("around")),
-        long.select("id", (F.col("start") + F.col("size") - span).alias("start"), F.concat(F.expr(f"right(core, {span})"), "right").alias("around")),
+        crowded.where(F.col("size") < span).select("id", begin.alias("start"), F.concat("left", "head", "right").alias("around")),
+        long.select("id", begin.alias("start"), F.concat("left", "head").alias("around")),
+        long.select("id", (F.col("start") + F.col("size") - span).alias("start"), F.concat("tail", "right").alias("around")),
     ]
     windows = _windows(borders[0].union(borders[1]).union(borders[2]), span)
     common = windows.groupBy("window").agg((F.min("id") != F.max("id")).alias("several")).where("several").select("window")
@@ -271,7 +302,7 @@ def shared_amounts(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     """
     records = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     texts = _prepared(docs, id_col, text_col, span)
-    found = _shared_ranges(texts, written(_paths(texts, span), "span-paths"), span, in_pairs)
+    found = _shared_ranges(texts, _paths(texts, span), span, in_pairs)
     along = Window.partitionBy("id").orderBy("start")
     begins = found.withColumn("fresh", F.when(F.col("start") <= F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
     stretches = begins.withColumn("part", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from cresset.llm import spans as S
@@ -94,3 +95,21 @@ def test_empty_and_equal_ids(spark):
     assert S.shared_amounts(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         S.shared_pairs(df, span=100)
+
+
+def test_minimizers_depend_on_their_text_only():
+    """By brute force, with ties and several texts in one batch."""
+    random.seed(2)
+    for _ in range(60):
+        sizes = [random.randint(0, 60) for _ in range(random.randint(1, 5))]
+        grams = np.array([random.randint(1, 6) for _ in range(sum(sizes) + 8)], dtype=np.uint64)
+        ends = np.cumsum([*sizes[:-1], sizes[-1] + 8])
+        window = 7
+        want, last = set(), np.zeros(len(grams) - window + 1, dtype=np.int64)
+        for w in range(len(last)):
+            end = int(ends[np.searchsorted(ends, w, side="right")])
+            last[w] = end - window
+            if w <= last[w]:
+                values = grams[w : w + window].tolist()
+                want.add(w + values.index(min(values)))
+        assert set(S.minimizers(grams, window, last).tolist()) == want
