@@ -30,11 +30,14 @@ def _number(*parts: Column | str, digits: int) -> Column:
 def passed(rank: Column, n: Column, of: Column, start: Column) -> Column:
     """How many of n draws among ``of`` rows are made up to a rank: the whole numbers that rank * n / of passes, counted from the start.
 
-    start counts millionths (2^-20). Products are decimals, which hold the square of any row count.
+    start counts millionths (2^-20). Where a product of two counts might not fit a long, it is a decimal, which holds
+    the square of any row count.
     """
+    part = lambda a, b: F.call_function("div", a, b)
     wide = lambda c: c.cast("decimal(19,0)")
-    first = F.call_function("div", wide(start) * wide(of), F.lit(1 << 20).cast("decimal(19,0)"))
-    return F.when(n >= of, rank).when(of > 0, F.call_function("div", wide(rank) * wide(n) + wide(first), wide(of))).otherwise(0)
+    short = part(rank * n + part(start * of, F.lit(1 << 20)), of)
+    long = part(wide(rank) * wide(n) + wide(part(wide(start) * wide(of), wide(F.lit(1 << 20)))), wide(of))
+    return F.when(n >= of, rank).when(of <= 0, 0).when(of < 1 << 31, short).otherwise(long)
 
 
 def _available(frame: DataFrame, id_col: str, key_col: str, seed: int, per_task: int, match: list[str]) -> tuple[DataFrame, DataFrame]:
