@@ -191,6 +191,32 @@ def token_set_ratio(a: str | None, b: str | None) -> float | None:
     return best
 
 
+def token_set_ratios(query: str, texts: Sequence[str]) -> np.ndarray:
+    """``token_set_ratio`` of one string with many."""
+    own = set(query.split())
+    out = np.zeros(len(texts))
+    if not own:
+        return out
+    open_: list[tuple[int, int, str, str]] = []
+    for k, text in enumerate(texts):
+        other = set(text.split())
+        shared = own & other
+        if shared and (len(shared) == len(own) or len(shared) == len(other)):
+            out[k] = 100.0
+        elif other:
+            open_.append((k, len(" ".join(shared)), " ".join(sorted(own - shared)), " ".join(sorted(other - shared))))
+    if open_:
+        at, both, left, right = zip(*open_)
+        both = np.array(both)
+        head = both + (both > 0)
+        sizes = [head + np.array([len(t) for t in rest]) for rest in (left, right)]
+        best = 200.0 * (head + common_lengths(left, right)) / (sizes[0] + sizes[1])
+        for size in sizes:
+            best = np.maximum(best, np.where(both > 0, 200.0 * both / (both + size), 0.0))
+        out[list(at)] = best
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Common length of each pair, null where either is."""

@@ -48,11 +48,12 @@ def flip_rates(rejudged: DataFrame, was: str = "was", now: str = "now", baseline
     return excess.select("arm", "n", "n_flipped", "rate", "excess", (F.col("excess") >= cut).alias("is_excess"))
 
 
-def audit_totals(judged: DataFrame, population: int, order: str = "pos", size: int = 10) -> DataFrame:
-    """One row: (n, n_unanswered, partial_batches, total_batches, affected_estimate)."""
+def audit_totals(judged: DataFrame, population: DataFrame, order: str = "pos", size: int = 10) -> DataFrame:
+    """One row: (n, n_unanswered, partial_batches, total_batches, affected_estimate), the last for all rows of the population that ``judged`` was drawn from."""
     open_ = ~F.col("judged")
     sums = judged.agg(F.count("*").alias("n"), F.count_if(open_).alias("n_unanswered"), F.count_distinct(F.when(open_, F.floor(F.col(order) / size))).alias("partial_batches"))
-    return sums.withColumns({"total_batches": F.ceil(F.col("n") / size), "affected_estimate": F.round(population * F.col("n_unanswered") / F.col("n")).cast("long")})
+    whole = sums.join(F.broadcast(population.agg(F.count("*").alias("_all"))))  # one row each
+    return whole.withColumns({"total_batches": F.ceil(F.col("n") / size), "affected_estimate": F.round(F.col("_all") * F.col("n_unanswered") / F.col("n")).cast("long")}).drop("_all")
 
 
 def unanswered_by(rows: DataFrame, *by: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-#: Titles asked at once.
+from cresset.sources.workspace import written
+
+#: Titles asked at once, and what a judge is told before them.
 BATCH = 10
+SYSTEM = "Say for each numbered title which of its numbered candidates is the same work, 0 for none. Answer with a line for each: number of the title, colon, number of the candidate."
 
 
 def pending(titles: DataFrame, done: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
@@ -64,28 +68,35 @@ def parse_replies(replies: DataFrame, key: list[str]) -> DataFrame:
 
 
 def verdicts(items: DataFrame, picks: DataFrame, key: list[str]) -> DataFrame:
-    """State of each item: adds judged, in_catalog, match_title, match_id. items: *key, item, candidates (array of structs with item_id and title).
+    """State of each item: adds judged, in_catalog, match_title, match_id, match_quartile.
 
-    Not answered: judged false, in_catalog null. Pick 0: in_catalog false, match_title and match_id "". Else the candidate.
+    items: *key, item, candidates, an array of structs with item_id, title and, if known, quartile. Not answered:
+    judged false, in_catalog null. Pick 0: in_catalog false and all of the match "". Else the candidate, a match
+    without quartile having "".
     """
     joined = items.join(picks, [*key, "item"], "left")
     chosen = F.when(F.col("pick") > 0, F.get("candidates", F.col("pick") - 1))
-    return joined.withColumns({"judged": F.col("pick").isNotNull(), "in_catalog": F.col("pick") != 0, "match_title": F.when(F.col("pick") == 0, "").otherwise(chosen["title"]), "match_id": F.when(F.col("pick") == 0, "").otherwise(chosen["item_id"])}).drop("pick")
+    fields = items.schema["candidates"].dataType.elementType.fieldNames()
+    quartile = F.when(F.col("pick") > 0, F.coalesce(chosen["quartile"] if "quartile" in fields else F.lit(None), F.lit("")))
+    match = {"match_title": chosen["title"], "match_id": chosen["item_id"], "match_quartile": quartile}
+    return joined.withColumns({"judged": F.col("pick").isNotNull(), "in_catalog": F.col("pick") != 0} | {n: F.when(F.col("pick") == 0, "").otherwise(c) for n, c in match.items()}).drop("pick")
 
 
-def judge(batches: DataFrame, ask: Callable[[str], str], attempts: int = 4) -> DataFrame:
+def judge(batches: DataFrame, ask: Callable[[str], str], attempts: int = 4, pause: float = 1.0) -> DataFrame:
     """Replies of a judge to prompts: the columns of batches, and reply.
 
-    ask is called in the tasks; a batch whose calls all fail has a null reply, which leaves its items unanswered.
+    ask is called in the tasks. After a failed call the next one waits ``pause`` seconds, then twice as long each
+    time; a batch whose calls all fail has a null reply, which leaves its items unanswered.
     """
     schema = T.StructType([*batches.schema.fields, T.StructField("reply", T.StringType())])
 
     def once(prompt: str) -> str | None:
-        for _ in range(attempts):
+        for k in range(attempts):
             try:
                 return ask(prompt)
             except Exception:  # the next attempt may succeed
-                continue
+                if k < attempts - 1:
+                    time.sleep(pause * 2**k)
         return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,6 +129,24 @@ def last_verdicts(log: DataFrame, key: list[str], order: str = "pos") -> DataFra
     return last.select(*key, *(F.col("r")[c].alias(c) for c in rest))
 
 
-def numbered(log: DataFrame, within: list[str], order: list[str]) -> DataFrame:
-    """Adds pos, the place of a row in its cell, from 0."""
-    return log.withColumn("pos", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+def judge_all(items: DataFrame, within: list[str], ask: Callable[[str], str], order: list[str], rounds: int = 5, arm: str | None = None, attempts: int = 4, pause: float = 1.0) -> DataFrame:
+    """Verdicts on all items, those left unanswered being asked again in new batches, up to so many rounds in all.
+
+    items: *within, *order, candidates, title and whatever else. If some are still without an answer ValueError tells
+    their number, by ``arm`` if given: they are missing data, and no result should be made of the rest.
+    """
+    open_, done = items, []
+    for _ in range(rounds):
+        placed = batched(open_, within, order)
+        asked = prompts(placed.withColumn("candidates", F.transform("candidates", lambda c: c["title"])), within)
+        replies = judge(asked, ask, attempts, pause)
+        sizes = F.transform(F.array_sort(F.collect_list(F.struct("item", F.size("candidates").alias("n")))), lambda x: x["n"])
+        counts = placed.groupBy(*within, "batch").agg(sizes.alias("n_cands"))
+        picks = parse_replies(replies.join(counts, [*within, "batch"]), [*within, "batch"])
+        state = written(verdicts(placed, picks, [*within, "batch"]).drop("batch", "item"), "judged")
+        done.append(state.where("judged"))
+        open_ = state.where("not judged").select(*items.columns)
+        if not open_.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+    left = open_.groupBy(F.col(arm).alias("arm") if arm else F.lit("all").alias("arm")).agg(F.count("*").alias("n")).orderBy("arm").limit(100).collect()
+    raise ValueError("unanswered after all rounds: " + ", ".join(f"{r.arm} {r.n}" for r in left))

@@ -55,12 +55,13 @@ def macro_lines(values: DataFrame) -> DataFrame:
     return values.select(F.concat(F.lit("\\newcommand{\\"), letters, F.lit("}{"), "text", F.lit("}  % "), "source").alias("value")).orderBy("value")
 
 
-def cost(prompts: DataFrame, n_titles: Column, batch: int = 10, reply_tokens: int = 60, price_in: float = 3.0, price_out: float = 15.0) -> DataFrame:
-    """Calls, tokens and price of judging: (n_titles, n_calls, mean_chars, tokens_in, tokens_out, price).
+def cost(item_prompts: DataFrame, verdicts: DataFrame, system_chars: int, batch: int = 10, answer_tokens: int = 8, price_in: float = 3.0, price_out: float = 15.0) -> DataFrame:
+    """Calls, tokens and price of judging: (n_verdicts, n_calls, mean_chars, tokens_in, tokens_out, price).
 
-    A token is four characters of a prompt; prices are per million tokens.
+    item_prompts holds the prompt of one item in each row, whose mean length stands for all verdicts; each call also
+    sends the system text. A token is four characters, an answer so many tokens; prices are per million tokens.
     """
-    sums = prompts.agg(F.avg(F.length("prompt")).alias("mean_chars"), n_titles.alias("n_titles"))
-    calls = sums.withColumn("n_calls", F.ceil(F.col("n_titles") / batch))
-    tokens = calls.withColumns({"tokens_in": F.col("n_calls") * F.col("mean_chars") / 4, "tokens_out": F.col("n_calls") * reply_tokens})
+    means = item_prompts.agg(F.avg(F.length("prompt")).alias("mean_chars"))
+    sums = verdicts.agg(F.count("*").alias("n_verdicts")).join(F.broadcast(means)).withColumn("n_calls", F.ceil(F.col("n_verdicts") / batch))  # one row each
+    tokens = sums.withColumns({"tokens_in": F.col("n_verdicts") * F.col("mean_chars") / 4 + F.col("n_calls") * (system_chars / 4), "tokens_out": F.col("n_verdicts") * answer_tokens})
     return tokens.withColumn("price", (F.col("tokens_in") * price_in + F.col("tokens_out") * price_out) / 1e6)

@@ -28,14 +28,16 @@ def orphan_references(refs: DataFrame, parents: DataFrame, per_task: int = PER_T
     deleted (an earlier parent has ended) or late (the first parent comes later).
 
     Keys are compared without letter case and blanks around them; null, empty and blank keys refer to nothing, a null
-    scope matches no parent. At a null time only a parent without since and until counts. Repeated references are
+    scope matches no parent and is missing without being merged. At a null time only a parent without since and until counts. Repeated references are
     reported each, repeated parents count once; a parent that ends before it begins is never there. Other columns
     aren't read; without parents every reference is missing; without references the result is empty.
     A key with more than ``per_task`` references, or a thousandth of all, is split by row, and its parents, which are
     summed up by time before, are copied to each part. A key with as many instants of parents is split by time at
     quantiles; each part begins with the sums of the parts before it.
     """
-    asked = refs.select("table_name", "row_id", "scope", trimmed_key(F.col("key")).alias("key"), F.col("at").alias("t")).where("key is not null")
+    named = refs.select("table_name", "row_id", "scope", trimmed_key(F.col("key")).alias("key"), F.col("at").alias("t")).where("key is not null")
+    asked = named.where("scope is not null")
+    nowhere = named.where("scope is null").select("table_name", "row_id", "scope", "key", F.col("t").alias("at"), F.lit("missing").alias("reason"))
     lives = parents.select("scope", trimmed_key(F.col("key")).alias("key"), "since", "until").where("key is not null and scope is not null").distinct()
     there = F.coalesce(F.col("until") > F.col("since"), F.lit(True))
     always = (F.col("since").isNull() & F.col("until").isNull()).cast("long")
@@ -70,7 +72,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, per_task: int = PER_T
         merged = merged.join(base, ["scope", "key", "slot"], "left").withColumns({c: F.col(c) + F.coalesce(b, F.lit(0)) for c, b in added.items()} | {"ever": F.coalesce("steps_ever", "ever")})
     open_ = F.when(F.col("t").isNull(), F.col("always_sum")).otherwise(F.col("opened_sum"))
     reason = F.when(F.col("ever") == 0, "missing").when(F.col("before") > 0, "deleted").otherwise("late")
-    return merged.where(open_ <= 0).select("table_name", "row_id", "scope", "key", F.col("t").alias("at"), reason.alias("reason"))
+    return merged.where(open_ <= 0).select("table_name", "row_id", "scope", "key", F.col("t").alias("at"), reason.alias("reason")).union(nowhere)
 
 
 def _hot(rows: DataFrame, limit: int) -> list[tuple[str, str, int]]:

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cresset.sources.workspace import written
+
 #: Draws that one task makes at once; each block has a seed of its own, so that results don't depend on partitions.
 BLOCK = 1000
-#: Distinct values that a permutation test takes.
-MOST_VALUES = 100_000
+#: Distinct values that one task of a permutation test draws from; more are split into buckets.
+PER_BUCKET = 100_000
 
 
 def _draws(spark, n: int, seed: int, make: Callable[[np.random.Generator, int], np.ndarray]) -> DataFrame:  # noqa: ANN001
@@ -36,7 +38,7 @@ def interval(draws: DataFrame, low: float = 0.025, high: float = 0.975) -> DataF
 
 
 def f1_of(tp: np.ndarray, fp: np.ndarray, fn: np.ndarray, tn: np.ndarray) -> np.ndarray:
-    """F1 of confusion counts; undefined where there is neither a true positive nor ... a defined precision and recall."""
+    """F1 of confusion counts; undefined where precision or recall is, or both are 0."""
     with np.errstate(divide="ignore", invalid="ignore"):
         p, r = tp / (tp + fp), tp / (tp + fn)
         return 2 * p * r / (p + r)
@@ -65,29 +67,83 @@ def bootstrap(predictions: DataFrame, statistic: Callable[..., np.ndarray] = f1_
     return _draws(predictions.sparkSession, n, seed, make)
 
 
-def permutation_p(values: DataFrame, value: str, group: str, n: int = 20_000, seed: int = 21) -> DataFrame:
+def kappa_of(tp: np.ndarray, fp: np.ndarray, fn: np.ndarray, tn: np.ndarray) -> np.ndarray:
+    """Agreement beyond chance; undefined where chance alone agrees fully."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = tp + fp + fn + tn
+        a, b = (tp + fp) / n, (tp + fn) / n
+        chance = a * b + (1 - a) * (1 - b)
+        return np.where(chance < 1, ((tp + tn) / n - chance) / (1 - chance), np.nan)
+
+
+STATISTICS = {"f1": f1_of, "kappa": kappa_of, "bias": bias_of}
+
+
+def bootstrap_all(predictions: DataFrame, statistics: dict[str, Callable[..., np.ndarray]] = STATISTICS, n: int = 20_000, seed: int = 20, low: float = 2.5, high: float = 97.5) -> DataFrame:
+    """Every statistic of every instrument with its interval: (instrument, statistic, value, low, high, n_draws).
+
+    As ``bootstrap``, from one count of all rows; all statistics of an instrument are of the same draws.
+    """
+    p, h = F.col("predicted"), F.col("human")
+    cells = {"tp": p & h, "fp": p & ~h, "fn": ~p & h, "tn": ~p & ~h}
+    counts = predictions.groupBy("instrument").agg(*(F.count_if(c).alias(k) for k, c in cells.items()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                own = np.array([r.tp, r.fp, r.fn, r.tn], dtype=float)
+                total = int(own.sum())
+                blocks = [np.random.default_rng([seed, k]).multinomial(total, own / total, min(BLOCK, n - k * BLOCK)) for k in range(-(-n // BLOCK))] if total else []
+                drawn = np.concatenate(blocks).T.astype(float) if blocks else np.zeros((4, 0))
+                for name, statistic in statistics.items():
+                    values = statistic(*drawn)
+                    values = values[~np.isnan(values)]
+                    ends = np.percentile(values, [low, high]).tolist() if len(values) else [None, None]
+                    point = float(statistic(*own[:, None])[0]) if total else None
+                    out.append((r.instrument, name, None if point is None or np.isnan(point) else point, *ends, len(values)))
+            yield pd.DataFrame(out, columns=["instrument", "statistic", "value", "low", "high", "n_draws"])
+
+    return counts.mapInPandas(run, "instrument string, statistic string, value double, low double, high double, n_draws long")
+
+
+def permutation_p(values: DataFrame, value: str, group: str, n: int = 20_000, seed: int = 21, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Two-sided p of a difference of group means under random groups: (observed, p_value), smoothed by one.
 
-    The values, of which there are few distinct ones such as errors of -1, 0 and 1, are counted by value, and a random group of the same size is a draw without replacement from
-    these counts. Rows of null value or group don't count; without rows in both groups p is null.
+    The values are counted by value, and a random group of the same size is a draw without replacement from these
+    counts. Of very many distinct values the counts lie in buckets: how many of a group fall into each bucket is drawn
+    first, by all tasks alike, and every bucket draws so many of its own; together that is the same draw. Rows of null
+    value or group don't count; without rows in both groups p is null.
     """
     rows = values.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group)).alias("a"), F.count("*").alias("n")).orderBy("v").limit(MOST_VALUES + 1).collect()
-    if len(counts) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} distinct values; round them first")
-    v, a, every = (np.array([r[k] for r in counts], dtype=float) for k in ("v", "a", "n"))
-    n_a, total = a.sum(), every.sum()
+    counts = written(rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group)).alias("a"), F.count("*").alias("n")), "permutation-counts")
+    sums = counts.agg(F.count("*").alias("distinct"), F.sum("a").alias("a"), F.sum("n").alias("n"), F.sum(F.col("v") * F.col("a")).alias("va"), F.sum(F.col("v") * F.col("n")).alias("vn")).first()
     spark = values.sparkSession
-    if not n_a or n_a == total:
+    if not sums.a or sums.a == sums.n:
         return spark.createDataFrame([(None, None)], "observed double, p_value double")
-    difference = lambda x: (x @ v) / n_a - ((every - x) @ v) / (total - n_a)
-    observed = float(difference(a))
-
-    def make(rng: np.random.Generator, size: int) -> np.ndarray:
-        drawn = rng.multivariate_hypergeometric(every.astype(np.int64), int(n_a), size).astype(float)
-        return (np.abs(difference(drawn)) >= abs(observed) - 1e-12).astype(float)
+    n_a, total = int(sums.a), int(sums.n)
+    difference = lambda x: x / n_a - (sums.vn - x) / (total - n_a)
+    observed = float(difference(sums.va))
+    buckets = -(-sums.distinct // per_bucket)
+    placed = counts.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    sizes = {r.bucket: int(r.n) for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # one row per bucket
+    known = np.array([sizes.get(k, 0) for k in range(buckets)], dtype=np.int64)
+    held = placed.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("own"))
+    blocks = -(-n // BLOCK)
+    tasks = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(min(blocks * buckets, spark.sparkContext.defaultParallelism * 2))
 
-    hits = _draws(spark, n, seed, make).agg(F.sum("value").alias("h"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                block, size = int(r.block), min(BLOCK, n - int(r.block) * BLOCK)
+                shares = np.random.default_rng([seed, block]).multivariate_hypergeometric(known, n_a, size, method="marginals")[:, int(r.bucket)]
+                v, own = np.array([x["v"] for x in r.own]), np.array([x["n"] for x in r.own], dtype=np.int64)
+                rng = np.random.default_rng([seed, block, int(r.bucket)])
+                drawn = np.array([rng.multivariate_hypergeometric(own, k, method="marginals") @ v for k in shares])
+                yield pd.DataFrame({"draw": np.arange(size) + block * BLOCK, "part": drawn})
+
+    each = tasks.mapInPandas(run, "draw long, part double").groupBy("draw").agg(F.sum("part").alias("x"))
+    hits = each.agg(F.count_if(F.abs(difference(F.col("x"))) >= abs(observed) - 1e-12).alias("h"))
     return hits.select(F.lit(observed).alias("observed"), ((F.col("h") + 1) / (n + 1)).alias("p_value"))
 
 

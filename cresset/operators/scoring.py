@@ -192,3 +192,24 @@ def carried_over(labels: DataFrame, before: DataFrame, key: list[str], columns:
     old = last.select(*key, *(F.col("_row")[c].alias(c) for c in columns))
     return labels.join(old, key, "left").withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
 
+
+def reproduced(labels: DataFrame, before: DataFrame, key: list[str], columns: list[str], order: str) -> DataFrame:
+    """How many labels have the value of an earlier result: (column, n, n_same); a value that is lacking counts as false."""
+    old = carried_over(labels.select(*key, *(F.col(c).alias(f"_new_{c}") for c in columns)), before, key, columns, order)
+    same = lambda c: F.count_if((F.lower(F.col(c)) == "true") == F.coalesce(F.col(f"_new_{c}"), F.lit(False)))
+    sums = old.agg(F.count("*").alias("n"), *(same(c).alias(c) for c in columns))
+    return sums.select("n", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_same")) for c in columns))).alias("x")).select("x.column", "n", "x.n_same")
+
+
+def without(predictions: DataFrame, overlaps: Column) -> DataFrame:
+    """Errors and F1 per instrument of all rows, and F1 of those that don't overlap: (instrument, n, fp, fn, f1, n_overlapping, f1_without)."""
+    marked = predictions.withColumn("_own", overlaps)
+    every = confusion(marked.withColumn("_all", F.lit(None).cast("string")), "_all").where(F.col("_all").isNull()).dropDuplicates(["instrument"])
+    rest = confusion(marked.where(~F.col("_own")).withColumn("_all", F.lit(None).cast("string")), "_all").dropDuplicates(["instrument"]).select("instrument", F.col("n").alias("_n"), F.col("f1").alias("f1_without"))
+    joined = every.join(rest, "instrument", "left")
+    return joined.select("instrument", "n", "fp", "fn", "f1", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n_overlapping"), "f1_without")
+
+
+def corrected_summary(corrected: DataFrame, by: str = "catalog") -> DataFrame:
+    """Corrected rates over cells: (by, n_cells, low, high, n_out_of_range)."""
+    return corrected.groupBy(by).agg(F.count("*").alias("n_cells"), F.min("corrected").alias("low"), F.max("corrected").alias("high"), F.count_if(~F.col("in_range")).alias("n_out_of_range"))

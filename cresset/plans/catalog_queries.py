@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cresset.functions import similarity, text
 from cresset.operators import catalog, judging, retrieval
 from cresset.plans import audit_queries, reference_queries, score_queries
+from cresset.plans.sql import KIND, SPACES, common_sql, fold_sql, forms_sql, most_common_sql, normal_sql, ratio_sql, set_sql, short_sql, sort_sql, token_set_parts, token_set_sql, year_sql
 from cresset.sources.tables import table
 
 KINDS = {"movielens": "film", "yelp": "place"}
@@ -99,11 +100,12 @@ def title_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """Ratios of matched verdicts' titles: of characters, sorted tokens, token sets, and over surface forms."""
     rows = _matched(spark, folder)
     pairs = rows.select("row_id", text.folded("title").alias("q"), text.folded("match_title").alias("f"))
-    ratios = pairs.select("row_id", similarity.indel("q", "f").alias("indel"), similarity.token_sort("q", "f").alias("token_sort"), similarity.token_set("q", "f").alias("token_set"))
+    compared = {"indel": similarity.indel("q", "f"), "token_sort": similarity.token_sort("q", "f"), "token_set": similarity.token_set("q", "f")}
+    ratios = pairs.select("row_id", *(F.round(c, 6).alias(n) for n, c in compared.items()))
     from cresset.operators.scoring import pair_scores
 
     forms = pair_scores(rows.select("row_id", F.col("title").alias("query"), F.col("match_title").alias("title"), kind_of(F.col("catalog")).alias("kind")), ["row_id"])
-    return ratios.join(forms, "row_id")
+    return ratios.join(forms.select("row_id", F.round("score", 6).alias("score")), "row_id")
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,14 +134,19 @@ def rare_token_topk(spark: SparkSession, folder: str) -> DataFrame:
 def fuzzy_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The most similar entries of every labeled title, all pairs of its catalog."""
     queries = _queries(spark, folder).withColumn("sorted", text.sort_key("folded"))
-    return retrieval.compare_all(queries, _entries(spark, folder), retrieval.DEPTH.k)
+    best = retrieval.compare_all(queries, _entries(spark, folder), retrieval.DEPTH.k)
+    return best.select("query", "item_id", F.round("score", 6).alias("score"), "place")
 
 
 def full_catalog_best(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether any entry of the whole catalog matches a labeled title by sorted tokens at the cutoff."""
+    """Whether any entry of the whole catalog matches a labeled title at the cutoff, by token sets and by sorted tokens."""
     queries = _queries(spark, folder).withColumn("sorted", text.sort_key("folded"))
-    best = retrieval.compare_all(queries, _entries(spark, folder), 1, retrieval.DEPTH.cutoff, "token_sort")
-    return queries.select("query").distinct().join(best.select("query", "score"), "query", "left").select("query", F.col("score").isNotNull().alias("matched"))
+    entries = _entries(spark, folder)
+    out = queries.select("query").distinct()
+    for scorer in ("token_set", "token_sort"):
+        best = retrieval.compare_all(queries, entries, 1, retrieval.DEPTH.cutoff, scorer).select("query", F.lit(True).alias(scorer))
+        out = out.join(best, "query", "left").withColumn(scorer, F.coalesce(scorer, F.lit(False)))
+    return out
 
 
 def retrieved_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +154,7 @@ def retrieved_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.retrieve(titles, table(spark, folder, "catalog", "catalog", "item_id", "title"), title="generated_title")
 
 
-def _labels(spark: SparkSession, folder: str) -> DataFrame:
+def label_items(spark: SparkSession, folder: str) -> DataFrame:
     names = [f"cand_{k}" for k in range(1, 9)]
     ids = [f"{n}_id" for n in names]
     rows = table(spark, folder, "human_labels_201", "row_id", "catalog", "generated_title", "llm_pick", *names, *ids)
@@ -156,12 +163,14 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pending_titles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "verdicts", "row_id", "catalog", "model", "title", "judged")
-    return judging.pending(rows, rows, ["catalog", "model", "title"], "row_id")
+    """Labeled titles that no verdict has answered."""
+    titles = table(spark, folder, "human_labels_201", "row_id", "catalog", F.col("generated_title").alias("title"))
+    done = table(spark, folder, "verdicts", "catalog", "title", "judged")
+    return judging.pending(titles, done, ["catalog", "title"], "row_id")
 
 
 def _batches(spark: SparkSession, folder: str) -> DataFrame:
-    return judging.batched(_labels(spark, folder), ["catalog"], ["row_id"])
+    return judging.batched(label_items(spark, folder), ["catalog"], ["row_id"])
 
 
 def judge_prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,24 +210,6 @@ def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("d")).select("o_orderkey", epoch_seconds("d").alias("seconds"))
 
 
-_SPACES = r"\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-
-
-def normal_sql(x: str) -> str:
-    """SQL of the normal form of a title."""
-    year = rf"regexp_replace(lower({x}), '[{_SPACES}]*\([12]\d{{3}}\)[{_SPACES}]*$', '')"
-    words = rf"regexp_replace({year}, '[^\p{{L}}\p{{N}}_]', ' ', 'g')"
-    return rf"coalesce(trim(regexp_replace({words}, ' +', ' ', 'g')), '')"
-
-
-def sort_sql(x: str) -> str:
-    return f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda t: t <> '')), ' ')"
-
-
-def set_sql(x: str) -> str:
-    return f"list_sort(list_distinct(list_filter(string_split({x}, ' '), lambda t: t <> '')))"
-
-
 _CATALOG = """
 WITH items AS (SELECT catalog, item_id FROM catalog WHERE item_id IS NOT NULL GROUP BY ALL),
 counts AS (SELECT catalog, item_id, count(*) AS n FROM interactions GROUP BY ALL),
@@ -249,6 +240,35 @@ WITH items AS (
 batched AS (SELECT *, p // 10 AS batch, p % 10 + 1 AS item FROM items)
 """
 
+
+
+def set_text(x: str) -> str:
+    return f"array_to_string({set_sql(x)}, ' ')"
+
+
+_PAIRS = f"""
+WITH asked AS (SELECT query, catalog, f AS q FROM (SELECT DISTINCT catalog || '|' || generated_title AS query, catalog, {sort_sql(normal_sql('generated_title'))} AS f FROM human_labels_201 WHERE generated_title IS NOT NULL) WHERE f <> ''),
+entries AS (SELECT catalog, item_id, f FROM (SELECT DISTINCT catalog, item_id, {sort_sql(fold_sql('title'))} AS f FROM catalog WHERE title IS NOT NULL) WHERE f <> ''),
+pairs AS MATERIALIZED (SELECT query, item_id, q, f FROM asked JOIN entries USING (catalog))"""
+_SEARCH = f"""{_PAIRS},
+scored AS MATERIALIZED (SELECT query, item_id, max({ratio_sql('q', 'f', '(' + common_sql('q', 'f') + ')')}) AS score FROM pairs GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id)::INT AS place FROM scored QUALIFY place <= 12)
+"""
+_RETRIEVED = f"""
+WITH asked AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT catalog, generated_title, {fold_sql('generated_title')} AS a FROM human_labels_201 WHERE generated_title IS NOT NULL) WHERE a <> ''),
+entries AS MATERIALIZED (SELECT * FROM (SELECT catalog, item_id, {fold_sql('title')} AS f FROM catalog WHERE title IS NOT NULL) WHERE f <> ''),
+each AS (SELECT catalog, item_id, unnest({set_sql('f')}) AS token FROM entries),
+sizes AS (SELECT catalog, count(*) AS n FROM entries GROUP BY 1),
+weights AS (SELECT catalog, token, ln(n / (1.0 + count(*))) AS idf FROM each JOIN sizes USING (catalog) GROUP BY catalog, token, n HAVING count(*) <= 0.02 * n),
+wanted AS (SELECT catalog, generated_title, unnest({set_sql('a')}) AS token FROM asked),
+rare AS (SELECT catalog, generated_title, item_id, round(sum(idf), 6) AS score FROM wanted JOIN (SELECT DISTINCT * FROM each) USING (catalog, token) JOIN weights USING (catalog, token) GROUP BY ALL),
+by_rare AS (SELECT *, row_number() OVER (PARTITION BY catalog, generated_title ORDER BY score DESC, item_id) AS p FROM rare QUALIFY p <= 12),
+pairs AS MATERIALIZED (SELECT catalog, generated_title, item_id, {sort_sql('a')} AS x, {sort_sql('f')} AS y FROM asked JOIN entries USING (catalog)),
+compared AS (SELECT catalog, generated_title, item_id, max({ratio_sql('x', 'y', '(' + common_sql('x', 'y') + ')')}) AS score FROM pairs GROUP BY ALL),
+by_text AS (SELECT *, row_number() OVER (PARTITION BY catalog, generated_title ORDER BY score DESC, item_id) AS p FROM compared QUALIFY p <= 12),
+both_ways AS (SELECT catalog, generated_title, item_id, min(100 * block + p) AS nth FROM (SELECT catalog, generated_title, item_id, 0 AS block, p FROM by_rare UNION ALL SELECT catalog, generated_title, item_id, 1, p FROM by_text) GROUP BY ALL)
+SELECT catalog, generated_title AS title, item_id, row_number() OVER (PARTITION BY catalog, generated_title ORDER BY nth)::INT AS place FROM both_ways QUALIFY place <= 8"""
+
 ORACLE: dict[str, str] = {
     **reference_queries.ORACLE,
     **score_queries.ORACLE,
@@ -261,7 +281,7 @@ ORACLE: dict[str, str] = {
     "holdout_arrays": "WITH" + _SPLIT + "SELECT user_id, string_agg(item_id, ' ' ORDER BY place) FILTER (NOT is_target) AS history, max(item_id) FILTER (is_target) AS target_item_id FROM histories WHERE n >= 2 GROUP BY 1",
     "normalized_titles": f"SELECT row_id, {normal_sql('title')} AS normalized FROM catalog",
     "token_sortkey": f"SELECT row_id, {sort_sql('normalized_title')} AS sort_key FROM catalog",
-    "title_year": rf"SELECT row_id, nullif(regexp_extract(title, '[{_SPACES}]*\((\d{{4}})\)[{_SPACES}]*$', 1), '') AS year FROM verdicts",
+    "title_year": rf"SELECT row_id, nullif(regexp_extract(title, '[{SPACES}]*\((\d{{4}})\)[{SPACES}]*$', 1), '') AS year FROM verdicts",
     "short_title_guard": f"""
 WITH p AS (SELECT row_id, {set_sql(normal_sql('title'))} AS q, {set_sql(normal_sql('match_title'))} AS f,
   len(list_filter(string_split({normal_sql('title')}, ' '), lambda t: t <> '')) AS nq, len(list_filter(string_split({normal_sql('match_title')}, ' '), lambda t: t <> '')) AS nf
@@ -274,18 +294,42 @@ asked AS (SELECT query, catalog, unnest(list_distinct(list_filter(string_split(f
 postings AS (SELECT DISTINCT catalog, item_id, token FROM each),
 scores AS (SELECT query, item_id, round(sum(idf), 6) AS score FROM asked JOIN postings USING (catalog, token) JOIN weights USING (catalog, token) WHERE df <= 0.02 * n GROUP BY ALL)
 SELECT query, item_id, score FROM scores QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) <= 12""",
-    "pending_titles": "SELECT catalog, model, title, min(row_id) AS first FROM verdicts v WHERE title IS NOT NULL AND NOT EXISTS (SELECT 1 FROM verdicts d WHERE d.judged AND d.catalog = v.catalog AND d.model = v.model AND d.title = v.title) GROUP BY ALL",
+    "pending_titles": "SELECT catalog, generated_title AS title, min(row_id) AS first FROM human_labels_201 v WHERE generated_title IS NOT NULL AND NOT EXISTS (SELECT 1 FROM verdicts d WHERE d.judged AND d.catalog = v.catalog AND d.title = v.generated_title) GROUP BY ALL",
     "judge_prompts": _BATCHES
     + r"""SELECT catalog, batch, count(*)::INT AS n_items, string_agg(item || '. ' || title || CASE WHEN len(c) > 0 THEN E'\n' || array_to_string(list_transform(c, lambda x, k: '  ' || k || ') ' || x.title), E'\n') ELSE '' END, E'\n' ORDER BY item) AS prompt
 FROM batched GROUP BY ALL""",
     "cost_estimate": _BATCHES
-    + r""", prompts AS (SELECT count(*) AS n, string_agg(item || '. ' || title || CASE WHEN len(c) > 0 THEN E'\n' || array_to_string(list_transform(c, lambda x, k: '  ' || k || ') ' || x.title), E'\n') ELSE '' END, E'\n' ORDER BY item) AS prompt FROM batched GROUP BY catalog, batch),
-s AS (SELECT sum(n)::BIGINT AS n_titles, avg(length(prompt)) AS mean_chars, CAST(ceil(sum(n) / 10) AS BIGINT) AS n_calls FROM prompts)
-SELECT n_titles, n_calls, n_calls * 60 AS tokens_out, round(mean_chars, 6) AS mean_chars, round(n_calls * mean_chars / 4, 6) AS tokens_in, round((n_calls * mean_chars / 4 * 3.0 + n_calls * 60 * 15.0) / 1e6, 6) AS price FROM s""",
+    + rf""", prompts AS (SELECT '1. ' || title || CASE WHEN len(c) > 0 THEN E'\n' || array_to_string(list_transform(c, lambda x, k: '  ' || k || ') ' || x.title), E'\n') ELSE '' END AS prompt FROM batched),
+s AS (SELECT (SELECT count(*) FROM verdicts) AS n_verdicts, avg(length(prompt)) AS mean_chars, CAST(ceil((SELECT count(*) FROM verdicts) / 10) AS BIGINT) AS n_calls FROM prompts)
+SELECT n_verdicts, n_calls, n_verdicts * 8 AS tokens_out, round(mean_chars, 6) AS mean_chars, round(n_verdicts * mean_chars / 4 + n_calls * {len(judging.SYSTEM)} / 4, 6) AS tokens_in,
+  round(((n_verdicts * mean_chars / 4 + n_calls * {len(judging.SYSTEM)} / 4) * 3.0 + n_verdicts * 8 * 15.0) / 1e6, 6) AS price FROM s""",
+    "folded_titles": f"SELECT row_id, CASE WHEN title IS NULL THEN '' ELSE {fold_sql('title')} END AS folded FROM catalog",
+    "surface_forms": f"SELECT row_id, unnest({forms_sql('title', KIND)}) AS form FROM catalog WHERE title IS NOT NULL",
+    "title_ratios": f"""
+WITH p AS (SELECT row_id, catalog, title, match_title, {fold_sql('title')} AS a, {fold_sql('match_title')} AS b, {forms_sql('match_title', KIND)} AS forms FROM verdicts WHERE title IS NOT NULL AND match_title <> ''),
+sorted AS (SELECT *, {sort_sql('a')} AS x, {sort_sql('b')} AS y, {token_set_parts('a', 'b')['shared']} AS shared, {token_set_parts('a', 'b')['rest_a']} AS rest_a, {token_set_parts('a', 'b')['rest_b']} AS rest_b FROM p),
+each AS (SELECT row_id, a, x, unnest(forms) AS f FROM sorted WHERE a <> '' AND NOT (catalog = 'movielens' AND coalesce({year_sql('title')} <> {year_sql('match_title')}, false))),
+forms AS (SELECT row_id, x, {sort_sql('f')} AS f FROM each WHERE NOT ({short_sql('a', 'f')})),
+best AS (SELECT row_id, max({ratio_sql('x', 'f', '(' + common_sql('x', 'f') + ')')}) AS s FROM forms GROUP BY 1)
+SELECT row_id, round({ratio_sql('a', 'b', '(' + common_sql('a', 'b') + ')')}, 6) AS indel, round({ratio_sql('x', 'y', '(' + common_sql('x', 'y') + ')')}, 6) AS token_sort,
+  round({token_set_sql('(' + common_sql('rest_a', 'rest_b') + ')')}, 6) AS token_set, CASE WHEN a <> '' THEN round(coalesce(s, 0.0), 6) END AS score FROM sorted LEFT JOIN best USING (row_id)""",
+    "fuzzy_topk": f"""{_SEARCH} SELECT query, item_id, round(score, 6) AS score, place FROM top""",
+    "full_catalog_best": f"""{_PAIRS}, sets AS (SELECT query, {set_text('q')} AS a, {set_text('f')} AS b FROM asked JOIN entries USING (catalog)),
+parts AS (SELECT query, {token_set_parts('a', 'b')['shared']} AS shared, {token_set_parts('a', 'b')['rest_a']} AS rest_a, {token_set_parts('a', 'b')['rest_b']} AS rest_b FROM sets),
+likely AS MATERIALIZED (SELECT * FROM parts WHERE {token_set_sql(most_common_sql('rest_a', 'rest_b'))} >= 90),
+by_set AS (SELECT DISTINCT query FROM likely WHERE {token_set_sql('(' + common_sql('rest_a', 'rest_b') + ')')} >= 90),
+near AS MATERIALIZED (SELECT query, q, f FROM pairs WHERE {ratio_sql('q', 'f', most_common_sql('q', 'f'))} >= 90),
+by_sort AS (SELECT DISTINCT query FROM near WHERE {ratio_sql('q', 'f', '(' + common_sql('q', 'f') + ')')} >= 90)
+SELECT query, query IN (FROM by_set) AS token_set, query IN (FROM by_sort) AS token_sort FROM asked""",
+    "retrieved_candidates": _RETRIEVED,
+    "judge_verdicts": _BATCHES
+    + f""", picked AS (SELECT row_id, c, list_position(list_transform(c, lambda x: {fold_sql('x.title')}), {fold_sql('title')}) AS pick FROM batched)
+SELECT row_id, true AS judged, pick IS NOT NULL AS in_catalog, CASE WHEN pick IS NULL THEN '' ELSE c[pick].title END AS match_title, CASE WHEN pick IS NULL THEN '' ELSE c[pick].item_id END AS match_id FROM picked""",
     "parsed_replies": _BATCHES + "SELECT catalog, batch, item, try_cast(llm_pick AS INT) AS pick FROM batched WHERE try_cast(llm_pick AS INT) BETWEEN 0 AND len(c)",
     "json_fields": "SELECT event_id, try_cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "parsed_dates": "SELECT o_orderkey, epoch(date_trunc('second', o_orderdate))::BIGINT AS seconds FROM orders",
 }
+ORACLE["full_catalog_rates"] = ORACLE["full_catalog_rates"].replace("full_catalog_best_here", f"({ORACLE['full_catalog_best']})")
 
 QUERIES = {
     f.__name__: f

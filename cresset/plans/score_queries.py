@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cresset.operators import publishing, resampling, scoring
+from cresset.plans import sql as Q
 from cresset.sources.tables import table
 
 TERMS = ["meadow", "lantern", "kettle", "(19"]
@@ -27,6 +28,38 @@ def _instruments() -> dict:
     return {k: F.lit(True) if v is F.lit else v for k, v in _INSTRUMENTS.items()}
 
 
+def _all_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The instruments of the labels, and beside them equality of folded titles with any candidate."""
+    exact = candidate_instruments(spark, folder).select("row_id", "exact")
+    labels = _labels(spark, folder).join(exact, "row_id")
+    return scoring.long_predictions(labels, _instruments() | {"exact": "exact"}, "human_in", "catalog", "generated_title")
+
+
+def instrument_kappa(spark: SparkSession, folder: str) -> DataFrame:
+    """Agreement of every instrument with the labels beyond chance."""
+    found = scoring.kappa(_all_predictions(spark, folder), "predicted", "human", "instrument")
+    return found.select("instrument", "n", "n_disagree", *(F.round(c, 6).alias(c) for c in ("agreement", "kappa")))
+
+
+def instrument_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """F1, kappa and bias of every instrument with intervals by resampling."""
+    return resampling.bootstrap_all(_all_predictions(spark, folder))
+
+
+def f1_without_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors and F1 of every instrument, with and without titles that hold given terms."""
+    from cresset.functions.text import contains_any
+
+    found = scoring.without(_predictions(spark, folder), contains_any("generated_title", TERMS))
+    return found.select("instrument", "n", "fp", "fn", F.round("f1", 6).alias("f1"), "n_overlapping", F.round("f1_without", 6).alias("f1_without"))
+
+
+def previous_run(spark: SparkSession, folder: str) -> DataFrame:
+    """How many labels have the instruments of the last label of their catalog and title."""
+    rows = table(spark, folder, "human_labels_201", "row_id", "catalog", "generated_title", "tset_in", "tsort_in", "surf_in").where("generated_title is not null")
+    return scoring.reproduced(rows, rows, ["catalog", "generated_title"], ["tset_in", "tsort_in", "surf_in"], "row_id")
+
+
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.long_predictions(_labels(spark, folder), _instruments(), "human_in", "catalog", "model", "says", "generated_title")
 
@@ -77,10 +110,19 @@ def instrument_span(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.spans(_metrics(spark, folder), "amazon", ["judge20"]).select(F.round("f1_span", 6).alias("f1_span"), F.round("bias_span", 6).alias("bias_span"))
 
 
-def rate_correction(spark: SparkSession, folder: str) -> DataFrame:
+def _corrected(spark: SparkSession, folder: str) -> DataFrame:
     judged = table(spark, folder, "verdicts", "catalog", "model", "in_catalog", "judged").where("judged")
     cells = judged.groupBy("catalog", "model").agg((1 - F.avg(F.col("in_catalog").cast("double"))).alias("ood"))
-    found = scoring.corrected_rates(cells, _metrics(spark, folder), "judge8")
+    return scoring.corrected_rates(cells, _metrics(spark, folder), "judge8")
+
+
+def corrected_summary(spark: SparkSession, folder: str) -> DataFrame:
+    found = scoring.corrected_summary(_corrected(spark, folder))
+    return found.select("catalog", "n_cells", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n_out_of_range")
+
+
+def rate_correction(spark: SparkSession, folder: str) -> DataFrame:
+    found = _corrected(spark, folder)
     return found.select("catalog", "model", *(F.round(c, 6).alias(c) for c in ("ood", "sens", "spec", "corrected")), "in_range")
 
 
@@ -119,20 +161,22 @@ def candidate_instruments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def full_catalog_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted rates by sorted tokens on the shortlist and on the whole catalog, beside those of the labels."""
+    """Weighted and plain rates by token sets and by sorted tokens, on the shortlist and on the whole catalog, beside those of the labels."""
     from cresset.plans.catalog_queries import full_catalog_best
 
     labels = _labels(spark, folder).where("generated_title is not null").withColumn("query", F.concat_ws("|", "catalog", "generated_title"))
-    joined = labels.join(full_catalog_best(spark, folder), "query", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
-    predictions = scoring.long_predictions(joined, {"token_sort": "tsort_in", "token_sort_full": "matched"}, "human_in", "catalog", "says")
-    return scoring.reweighted(predictions, _weights(spark, folder), "says")
+    joined = labels.join(full_catalog_best(spark, folder), "query", "left")
+    instruments = {"token_set": "tset_in", "token_sort": "tsort_in"} | {f"{c}_full": F.coalesce(c, F.lit(False)) for c in ("token_set", "token_sort")}
+    predictions = scoring.long_predictions(joined, instruments, "human_in", "catalog", "says")
+    rates = scoring.reweighted(predictions, _weights(spark, folder), "says")
+    return rates.select("instrument", "catalog", *(F.round(c, 6).alias(c) for c in ("rate", "human_rate", "raw_rate")))
 
 
 def label_overrides(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels corrected by the later labels of the same key."""
+    """Labels corrected by the judged verdicts on the same catalog and title."""
     rows = _labels(spark, folder)
     key = ["catalog", "generated_title"]
-    fixes = rows.select(*key, "human_in", F.col("row_id").alias("at"))
+    fixes = table(spark, folder, "verdicts", "row_id", "catalog", "title", "in_catalog", "judged").where("judged and title is not null").select("catalog", F.col("title").alias("generated_title"), F.col("in_catalog").alias("human_in"), F.col("row_id").alias("at"))
     return scoring.with_overrides(rows, fixes, key).select("row_id", "human_in")
 
 
@@ -185,10 +229,13 @@ def metric_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cost_estimate(spark: SparkSession, folder: str) -> DataFrame:
-    from cresset.plans.catalog_queries import judge_prompts
+    """The price of judging all verdicts, by the prompts of single labels."""
+    from cresset.operators import judging
+    from cresset.plans.catalog_queries import label_items
 
-    found = publishing.cost(judge_prompts(spark, folder), F.sum("n_items"))
-    return found.select("n_titles", "n_calls", "tokens_out", *(F.round(c, 6).alias(c) for c in ("mean_chars", "tokens_in", "price")))
+    items = label_items(spark, folder).select(judging.item_lines(F.lit(1), "title", F.transform("candidates", lambda c: c["title"])).alias("prompt"))
+    found = publishing.cost(items, table(spark, folder, "verdicts", "row_id"), len(judging.SYSTEM))
+    return found.select("n_verdicts", "n_calls", "tokens_out", *(F.round(c, 6).alias(c) for c in ("mean_chars", "tokens_in", "price")))
 
 
 _LABELS = """
@@ -214,6 +261,25 @@ _CELLS = """, conf AS (SELECT catalog, model, avg(in_catalog::INT) AS conf, coun
 truth AS (SELECT catalog, model, avg(human_in::INT) AS member_rate, avg((llm8_in <> human_in)::INT) AS brier FROM labels GROUP BY ALL),
 cells AS (SELECT *, member_rate - conf AS gap, abs(member_rate - conf) AS ece FROM conf JOIN truth USING (catalog, model))
 """
+_CORRECTED = """, cells AS (SELECT catalog, model, 1 - avg(in_catalog::INT) AS ood FROM verdicts WHERE judged GROUP BY ALL),
+own AS (SELECT catalog, tp / nullif(tp + fn, 0) AS sens, tn / nullif(tn + fp, 0) AS spec FROM scored WHERE instrument = 'judge8' AND catalog IS NOT NULL),
+c AS (SELECT *, CASE WHEN sens + spec - 1 > 0 THEN 1 - ((1 - ood) + spec - 1) / (sens + spec - 1) END AS corrected FROM cells LEFT JOIN own USING (catalog))
+"""
+_SLOTS = ", ".join(f"cand_{k}" for k in range(1, 9))
+_PARTS = Q.token_set_parts("t", "c")
+_INSTRUMENTS_SQL = f"""
+WITH slots AS (SELECT row_id, catalog, generated_title AS title, unnest([{_SLOTS}]) AS cand FROM human_labels_201),
+given AS (SELECT row_id, catalog, title, cand, CASE WHEN title IS NULL THEN '' ELSE {Q.fold_sql('title')} END AS t, {Q.fold_sql('cand')} AS c FROM slots WHERE cand <> ''),
+compared AS (SELECT *, {Q.sort_sql('t')} AS x, {Q.sort_sql('c')} AS y, {_PARTS['shared']} AS shared, {_PARTS['rest_a']} AS rest_a, {_PARTS['rest_b']} AS rest_b, {Q.forms_sql('cand', Q.KIND)} AS forms FROM given),
+ratios AS (SELECT row_id, t, x, cand, title, catalog, forms, t = c AND t <> '' AS exact, {Q.token_set_sql('(' + Q.common_sql('rest_a', 'rest_b') + ')')} >= 90 AS by_set, {Q.ratio_sql('x', 'y', '(' + Q.common_sql('x', 'y') + ')')} >= 90 AS by_sort FROM compared),
+each AS (SELECT row_id, t, x, unnest(forms) AS f FROM ratios WHERE t <> '' AND NOT (catalog = 'movielens' AND coalesce({Q.year_sql('title')} <> {Q.year_sql('cand')}, false))),
+surfaces AS (SELECT DISTINCT row_id FROM (SELECT row_id, x, {Q.sort_sql('f')} AS f FROM each WHERE NOT ({Q.short_sql('t', 'f')})) WHERE {Q.ratio_sql('x', 'f', '(' + Q.common_sql('x', 'f') + ')')} >= 90),
+instruments AS (SELECT h.row_id, coalesce(bool_or(exact), false) AS exact, coalesce(bool_or(by_set), false) AS token_set, coalesce(bool_or(by_sort), false) AS token_sort, h.row_id IN (FROM surfaces) AS surface FROM human_labels_201 h LEFT JOIN ratios r USING (row_id) GROUP BY 1)
+"""
+_EXACT = _LABELS + f""", slots AS (SELECT row_id, {Q.fold_sql('generated_title')} AS t, unnest([{_SLOTS}]) AS cand FROM human_labels_201),
+same AS (SELECT DISTINCT row_id FROM slots WHERE cand <> '' AND t <> '' AND t = {Q.fold_sql('cand')}),
+every AS (SELECT i, p, h FROM predictions UNION ALL SELECT 'exact', row_id IN (FROM same), human_in FROM labels)
+"""
 _R = ", ".join(f"round({c}, 6) AS {c}" for c in _RATES)
 
 ORACLE: dict[str, str] = {
@@ -228,13 +294,27 @@ t AS (SELECT *, a_only + b_only AS m, unnest(range(0, least(a_only, b_only) + 1)
 SELECT catalog, a_only, b_only, CASE WHEN m > 0 THEN round(least(1, 2 * sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)))), 6) END AS p_value FROM t GROUP BY catalog, a_only, b_only, m""",
     "minimax_bias": _LABELS + "SELECT instrument, round(max(abs(bias)), 6) AS max_abs_bias FROM scored WHERE catalog IS NOT NULL GROUP BY 1",
     "instrument_span": _LABELS + "SELECT round(max(f1) FILTER (catalog IS NULL) - min(f1) FILTER (catalog IS NULL), 6) AS f1_span, round(max(bias) FILTER (catalog = 'amazon') - min(bias) FILTER (catalog = 'amazon'), 6) AS bias_span FROM scored WHERE instrument <> 'judge20'",
-    "rate_correction": _LABELS + """, cells AS (SELECT catalog, model, 1 - avg(in_catalog::INT) AS ood FROM verdicts WHERE judged GROUP BY ALL),
-own AS (SELECT catalog, tp / nullif(tp + fn, 0) AS sens, tn / nullif(tn + fp, 0) AS spec FROM scored WHERE instrument = 'judge8' AND catalog IS NOT NULL),
-c AS (SELECT *, CASE WHEN sens + spec - 1 > 0 THEN 1 - ((1 - ood) + spec - 1) / (sens + spec - 1) END AS corrected FROM cells LEFT JOIN own USING (catalog))
-SELECT catalog, model, round(ood, 6) AS ood, round(sens, 6) AS sens, round(spec, 6) AS spec, round(corrected, 6) AS corrected, coalesce(corrected BETWEEN 0 AND 1, false) AS in_range FROM c""",
+    "rate_correction": _LABELS + _CORRECTED + """SELECT catalog, model, round(ood, 6) AS ood, round(sens, 6) AS sens, round(spec, 6) AS spec, round(corrected, 6) AS corrected, coalesce(corrected BETWEEN 0 AND 1, false) AS in_range FROM c""",
     "subgroup_error": _LABELS + """SELECT catalog, model, coalesce(lower(generated_title) LIKE '%meadow%' OR lower(generated_title) LIKE '%lantern%' OR lower(generated_title) LIKE '%kettle%' OR lower(generated_title) LIKE '%(19%', false) AS has_term,
 count(*) AS n, round(avg(abs(p::INT - h::INT)), 6) AS error_rate, round(avg(p::INT - h::INT), 6) AS signed_error FROM predictions WHERE i = 'judge8' AND p IS NOT NULL GROUP BY ALL""",
-    "label_overrides": _LABELS + ", fixes AS (SELECT catalog, generated_title, arg_max(human_in, row_id) AS f FROM labels GROUP BY ALL) SELECT row_id, coalesce(f, human_in) AS human_in FROM labels l LEFT JOIN fixes x ON l.catalog = x.catalog AND l.generated_title = x.generated_title",
+    "instrument_kappa": _EXACT + """SELECT instrument, n, n_disagree, round(1 - n_disagree / n, 6) AS agreement, CASE WHEN a * b + (1 - a) * (1 - b) < 1 THEN round((1 - n_disagree / n - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 6) END AS kappa
+FROM (SELECT i AS instrument, count(*) AS n, count(*) FILTER (p <> h) AS n_disagree, avg(p::INT) AS a, avg(h::INT) AS b FROM every WHERE p IS NOT NULL AND h IS NOT NULL GROUP BY 1)""",
+    "f1_without_overlaps": _LABELS + f""", marked AS (SELECT i, p, h, {' OR '.join(f"coalesce(contains(lower(generated_title), '{t}'), false)" for t in TERMS)} AS o FROM predictions WHERE p IS NOT NULL AND h IS NOT NULL),
+s AS (SELECT i AS instrument, count(*) AS n, count(*) FILTER (p AND NOT h) AS fp, count(*) FILTER (NOT p AND h) AS fn, count(*) FILTER (p AND h) AS tp, count(*) FILTER (o) AS n_overlapping,
+  count(*) FILTER (p AND NOT h AND NOT o) AS fp2, count(*) FILTER (NOT p AND h AND NOT o) AS fn2, count(*) FILTER (p AND h AND NOT o) AS tp2 FROM marked GROUP BY 1)
+SELECT instrument, n, fp, fn, CASE WHEN tp > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) END AS f1, n_overlapping, CASE WHEN tp2 > 0 THEN round(2 * tp2 / (2 * tp2 + fp2 + fn2), 6) END AS f1_without FROM s""",
+    "previous_run": "WITH rows AS (SELECT * FROM human_labels_201 WHERE generated_title IS NOT NULL), last AS (SELECT catalog, generated_title, max(row_id) AS row_id FROM rows GROUP BY ALL), j AS (SELECT r.*, o.tset_in AS a, o.tsort_in AS b, o.surf_in AS c FROM rows r LEFT JOIN last l ON l.catalog = r.catalog AND l.generated_title = r.generated_title LEFT JOIN rows o ON o.row_id = l.row_id) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(*) AS n, count(*) FILTER (coalesce({n}, false) = coalesce({o}, false)) AS n_same FROM j" for n, o in (("tset_in", "a"), ("tsort_in", "b"), ("surf_in", "c"))),
+    "corrected_summary": _LABELS + _CORRECTED + "SELECT catalog, count(*) AS n_cells, round(min(corrected), 6) AS low, round(max(corrected), 6) AS high, count(*) FILTER (NOT coalesce(corrected BETWEEN 0 AND 1, false)) AS n_out_of_range FROM c GROUP BY 1",
+    "candidate_instruments": _INSTRUMENTS_SQL + "SELECT * FROM instruments",
+    "full_catalog_rates": _LABELS + _WEIGHTS + f""", full_best AS (SELECT * FROM full_catalog_best_here),
+j AS (SELECT l.catalog, says, human_in AS h, unnest([{{'i': 'token_set', 'p': tset_in}}, {{'i': 'token_sort', 'p': tsort_in}}, {{'i': 'token_set_full', 'p': coalesce(b.token_set, false)}}, {{'i': 'token_sort_full', 'p': coalesce(b.token_sort, false)}}], recursive := true)
+  FROM labels l LEFT JOIN full_best b ON b.query = l.catalog || '|' || generated_title WHERE generated_title IS NOT NULL)
+SELECT i AS instrument, catalog, round(sum(weight * p::INT) / sum(weight), 6) AS rate, round(sum(weight * h::INT) / sum(weight), 6) AS human_rate, round(avg(p::INT), 6) AS raw_rate
+FROM j JOIN weights USING (catalog, says) WHERE weight IS NOT NULL AND p IS NOT NULL AND h IS NOT NULL GROUP BY GROUPING SETS ((i), (i, catalog))""",
+    "metric_lines": _LABELS + """, x AS (SELECT instrument, catalog, unnest([{'m': 'f1', 'value': f1}, {'m': 'bias', 'value': bias}], recursive := true) FROM scored)
+SELECT '\\newcommand{\\' || regexp_replace(concat_ws('.', m, instrument, coalesce(catalog, 'all')), '[^A-Za-z]', '', 'g') || '}{' || format('{:+.3f}', value) || '}  % labels' AS value FROM x WHERE value IS NOT NULL""",
+    "label_overrides": _LABELS + ", fixes AS (SELECT catalog, title AS generated_title, arg_max(in_catalog, row_id) AS f FROM verdicts WHERE judged AND title IS NOT NULL GROUP BY ALL) SELECT row_id, coalesce(f, human_in) AS human_in FROM labels l LEFT JOIN fixes x ON l.catalog = x.catalog AND l.generated_title = x.generated_title",
     "blind_relabel": "WITH numbered AS (SELECT *, row_id // 2 AS g, coalesce(try_cast(try_cast(same_item AS DOUBLE) AS INT), 0) AS pick, upper(trim(llm_says)) = 'IN' AS shown FROM human_labels_201), j AS (SELECT a.pick AS pa, b.pick AS pb, b.shown, "
     + ", ".join(f"a.cand_{k} IS NOT DISTINCT FROM b.cand_{k} AS s{k}" for k in range(1, 9))
     + " FROM numbered a JOIN numbered b ON a.catalog = b.catalog AND a.g = b.g AND a.row_id % 2 = 1 AND b.row_id % 2 = 0), s AS (SELECT count(*) AS n_matched, count(*) FILTER ((pa > 0) <> (pb > 0)) AS n_disagree, "
@@ -253,6 +333,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion_by_instrument, instrument_agreement, stratum_weights, reweighted_rates, paired_sign_test, minimax_bias, instrument_span, rate_correction, subgroup_error, bootstrap_ci, permutation_p,
-        posterior_interval, candidate_instruments, full_catalog_rates, label_overrides, blind_relabel, labels_with_verdicts, cell_metric_summary, variance_of_means, rate_reductions, metric_long_form, metric_lines, cost_estimate,
+        posterior_interval, instrument_kappa, instrument_intervals, f1_without_overlaps, previous_run, corrected_summary, candidate_instruments, full_catalog_rates, label_overrides, blind_relabel, labels_with_verdicts, cell_metric_summary, variance_of_means, rate_reductions, metric_long_form, metric_lines, cost_estimate,
     )
 }

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import datetime
-import glob
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _at(path: str, spark: SparkSession | None = None):  # noqa: ANN202
+    """File system and path, of whatever system the path is on."""
+    context = (spark or SparkSession.active()).sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def _read_text(path: str) -> str:
+    system, target = _at(path)
+    stream = system.open(target)
+    try:
+        return SparkSession.active().sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _write_text(path: str, text: str) -> None:
+    system, target = _at(path)
+    stream = system.create(target, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, keep_empty: bool = True) -> DataFrame:
     """CSV with a header; quoted fields may hold line ends. With ``keep_empty`` an empty field is "", and NA or None are text."""
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
@@ -45,8 +68,7 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def read_json_document(path: str) -> dict:
     """A nested document of bounded size, such as a report."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(_read_text(path))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -56,11 +78,17 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def find_files(spark: SparkSession, folder: str, names: list[str]) -> dict[str, str]:
     """Where files lie anywhere below a folder; FileNotFoundError names those that don't."""
-    found = {n: sorted(glob.glob(os.path.join(glob.escape(folder), "**", n), recursive=True)) for n in names}
+    system, root = _at(folder, spark)
+    found: dict[str, list[str]] = {n: [] for n in names}
+    listed = system.listFiles(root, True)
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName() in found:
+            found[path.getName()].append(path.toString())
     lacking = [n for n, p in found.items() if not p]
     if lacking:
         raise FileNotFoundError(f"not below {folder}: {', '.join(lacking)}")
-    return {n: p[0] for n, p in found.items()}
+    return {n: min(p) for n, p in found.items()}
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "error") -> None:
@@ -97,22 +125,20 @@ def write_report(named: DataFrame, path: str) -> dict:
         for p in parents:
             at = at.setdefault(p, {})
         at[last] = r["value"]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f, indent=1, sort_keys=True)
+    _write_text(path, json.dumps(out, indent=1, sort_keys=True))
     return out
 
 
 def write_manifest(folder: str, **values: object) -> dict:
     """A manifest of a run with the time it was made, unless that is given."""
     out = {"created_at": datetime.datetime.now(datetime.UTC).isoformat()} | values
-    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as f:
-        json.dump(out, f, indent=1, sort_keys=True)
+    _write_text(f"{folder}/manifest.json", json.dumps(out, indent=1, sort_keys=True))
     return out
 
 
 def all_there(paths: list[str], force: bool = False) -> bool:
     """Whether all outputs exist, so that a step can be left out."""
-    return not force and all(os.path.exists(p) for p in paths)
+    return not force and all(system.exists(target) for system, target in map(_at, paths))
 
 
 def built_once(spark: SparkSession, folder: str, name: str, inputs: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
@@ -121,8 +147,8 @@ def built_once(spark: SparkSession, folder: str, name: str, inputs: DataFrame, b
     It is kept under a fingerprint of the inputs: their number, and the sum of their rows' hashes, without order.
     """
     marks = inputs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*inputs.columns).cast("decimal(38,0)")).alias("h")).first()
-    path = os.path.join(folder, f"{name}-{marks.n}-{marks.h or 0}")
-    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+    path = f"{folder}/{name}-{marks.n}-{marks.h or 0}"
+    if not all_there([f"{path}/_SUCCESS"]):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where the session names none, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; a local one only where a local session names none, as in tests.
+
+    On a cluster, whose executors share no local folder, a session without that setting is refused with ValueError.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = f"file://{tempfile.gettempdir()}/cresset-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -24,15 +30,37 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet below the shared folder and read it back, so that a lost executor costs no recomputation.
 
-    The table is removed when the driver's process ends.
+    The table is removed when the driver's process ends, or by ``forget_written``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _forget_at_exit(spark, path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def forget_written(spark: SparkSession) -> int:
+    """Removes the tables written so far; for long sessions, once the results that came from them are stored elsewhere."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return n
+
+
+@atexit.register
+def _forget_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            forget_written(spark)
+    except Exception:  # the JVM may be gone by then
+        pass
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, so that they need no copy of their own. Once per context."""
     context = spark.sparkContext
@@ -47,14 +75,3 @@ def ship_package(spark: SparkSession) -> None:
     context._cresset_shipped = True
     atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
 
-
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone by then
-            pass
-
-    atexit.register(remove)

@@ -69,7 +69,7 @@ def test_orphans_by_brute_force(spark, per_task):
     parents = [(random.choice("xyz"), random.choice(["a", " A ", "b", "c", None, ""]), _t(random.choice([None, 1, 3, 5, 9])), _t(random.choice([None, 2, 4, 8])), "e") for _ in range(25)]
     parents += [("x", "hot", _t(k / 4), _t(k / 4 + 0.1 + (k % 3) / 10), "e") for k in range(60)]
     refs = [("t", i, random.choice(["x", "y", "z", None]), random.choice(["a", "A\t", "b", "c", "d", "", "  ", None, "a", "hot", "hot"]), _t(random.choice([None, *(k / 8 for k in range(-4, 130))])), "e") for i in range(600)]
-    refs += refs[:3]
+    refs += refs[:3] + [("t", 1000 + k, None, "a", _t(2), "e") for k in range(40)]  # without scope: missing, whatever their number
     found = references.orphan_references(spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT), per_task)
     got = sorted((r.row_id, r.reason) for r in found.collect())
     want = sorted((r[1], w) for r in refs if (w := _reason(r, parents)) != "none")
@@ -254,7 +254,7 @@ def test_audit(spark):
     want = sum(1 for t in range(4) for a, b in itertools.pairwise([k >= 10 and k % 2 == 0 for k in range(25) if k % 4 == t]) if a != b)
     assert changes == want
     assert audit.coverage(log, log, ["cell"]).first().asDict() == {"cell": "c", "n_titles": 4, "n_judged": 4, "n_missing": 0}
-    totals = audit.audit_totals(log, 100).first()
+    totals = audit.audit_totals(log, spark.range(100)).first()
     assert (totals.n, totals.n_unanswered, totals.partial_batches, totals.total_batches, totals.affected_estimate) == (25, 1, 1, 3, 4)
     assert audit.sample_per_group(log, "cell", 7, F.xxhash64("pos"), "pos").count() == 7
     z = spark.range(1).select(*(c.alias(k) for k, c in audit.two_proportions(F.lit(0.12), F.lit(500), F.lit(0.1), F.lit(500)).items())).first()
@@ -298,3 +298,82 @@ def test_publishing(spark):
     r = publishing.cell_summary(cells).first()
     assert (r.n_under, r.n_over, r.n_flat, r.total, r.n_ece_is_gap) == (1, 0, 1, 15, 2)
     assert publishing.reductions(cells, "conf", ["other"]).first().n == 1
+
+
+def test_unanswered_items_are_asked_again(spark):
+    cand = "array<struct<item_id:string,title:string,quartile:string>>"
+    items = spark.createDataFrame([("c", k, f"t{k}", "AB"[k % 2], [("a", "t1", "Q1"), ("b", "t2", None)]) for k in range(1, 25)], f"cell string, pos long, title string, arm string, candidates {cand}")
+
+    def forgetful(prompt):
+        """Answers the first of a batch's items only."""
+        return judging.equal_title_judge(prompt).split("\n")[0]
+
+    with pytest.raises(ValueError, match="unanswered after all rounds: A 12, B 9"):
+        judging.judge_all(items, ["cell"], forgetful, ["pos"], rounds=1, arm="arm")
+    with pytest.raises(ValueError, match="unanswered"):
+        judging.judge_all(items, ["cell"], lambda p: 1 / 0, ["pos"], rounds=2, pause=0.0)
+    got = {r.pos: (r.in_catalog, r.match_id, r.match_quartile) for r in judging.judge_all(items.where("pos < 4"), ["cell"], forgetful, ["pos"]).collect()}
+    assert got == {1: (True, "a", "Q1"), 2: (True, "b", ""), 3: (False, "", "")}
+
+
+def test_failed_calls_wait_longer_each_time(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def failing(_):
+        import time
+
+        with open(log, "a") as f:
+            f.write(f"{time.time()}\n")
+        raise OSError
+
+    asked = spark.createDataFrame([("p",)], "prompt string")
+    assert judging.judge(asked, failing, attempts=3, pause=0.1).first().reply is None
+    times = [float(x) for x in open(log).read().split()]
+    assert len(times) == 3 and times[1] - times[0] >= 0.1 and times[2] - times[1] >= 0.2
+
+
+def test_restoring_of_restricted_sources_with_their_quartile(spark):
+    rows = spark.createDataFrame([(1, "m", None, "a", None), (2, "z", None, "a", None), (3, "m", "kept", "a", "Q9"), (4, "m", "", "gone", ""), (5, None, None, "a", None)], "i int, catalog string, t string, id string, q string")
+    known = spark.createDataFrame([(1, "m", "a", "old", "Q1"), (2, "m", "a", "A", "Q2"), (3, "m", "a", None, "Q3"), (1, "z", "a", "Z", "Q4")], "row_id int, catalog string, item_id string, title string, popularity_quartile string")
+    got = {r.i: (r.t, r.q, r.was_withheld) for r in restoring.restore(rows, known, "catalog", "t", "id", also={"q": "popularity_quartile"}, restricted=["m"]).collect()}
+    assert got == {1: ("A", "Q2", True), 2: (None, None, False), 3: ("kept", "Q9", False), 4: ("", "", True), 5: (None, None, False)}
+
+
+def test_intervals_of_all_instruments(spark):
+    rows = spark.createDataFrame([("m", True, True)] * 60 + [("m", True, False)] * 20 + [("m", False, True)] * 10 + [("m", False, False)] * 30 + [("all", True, True)] * 5 + [("none", None, True)], "instrument string, predicted boolean, human boolean")
+    got = {(r.instrument, r.statistic): r for r in resampling.bootstrap_all(rows, n=3000).collect()}
+    pairs = rows.where("instrument = 'm'")
+    assert got["m", "kappa"].value == pytest.approx(scoring.kappa(pairs, "predicted", "human").first().kappa)
+    assert got["m", "bias"].value == pytest.approx(10 / 120)
+    one = resampling.interval(resampling.bootstrap(pairs, n=3000)).first()
+    assert got["m", "f1"].low == pytest.approx(one.low, abs=0.01) and got["m", "f1"].high == pytest.approx(one.high, abs=0.01)
+    assert got["m", "kappa"].low < got["m", "kappa"].value < got["m", "kappa"].high
+    assert got["all", "kappa"].value is None and got["all", "kappa"].n_draws == 0 and got["none", "f1"].value is None
+
+
+def test_a_permutation_in_buckets_is_the_same_test(spark):
+    random.seed(4)
+    values = spark.createDataFrame([(random.random() + 0.25 * (k % 2), k % 2 == 1) for k in range(300)], "v double, g boolean")
+    whole, split = (resampling.permutation_p(values, "v", "g", n=3000, per_bucket=b).first() for b in (1000, 7))
+    assert whole.observed == pytest.approx(split.observed) and whole.p_value == pytest.approx(split.p_value, abs=0.01)
+    none = resampling.permutation_p(values.withColumn("g", F.col("v") * 1e9 % 2 < 1), "v", "g", n=3000, per_bucket=20).first()
+    assert none.p_value > 0.01
+
+
+def test_an_earlier_result_comes_from_one_row(spark):
+    now = spark.createDataFrame([("k", True, False), ("new", True, True)], "key string, a boolean, b boolean")
+    before = spark.createDataFrame([("k", 2, True, None), ("k", 1, False, True)], "key string, at int, a boolean, b boolean")
+    old = {r.key: (r.a, r.b) for r in scoring.carried_over(now.select("key"), before, ["key"], ["a", "b"], "at").collect()}
+    assert old == {"k": ("true", ""), "new": ("", "")}
+    assert {r.column: (r.n, r.n_same) for r in scoring.reproduced(now, before, ["key"], ["a", "b"], "at").collect()} == {"a": (2, 1), "b": (2, 1)}
+
+
+def test_f1_without_overlaps_and_summaries(spark):
+    rows = spark.createDataFrame([("m", True, True, "x"), ("m", True, False, "old x"), ("m", False, True, "x"), ("k", True, True, "old")], "instrument string, predicted boolean, human boolean, title string")
+    got = {r.instrument: (r.n, r.fp, r.fn, round(r.f1, 6), r.n_overlapping, r.f1_without and round(r.f1_without, 6)) for r in scoring.without(rows, F.col("title").contains("old")).collect()}
+    assert got == {"m": (3, 1, 1, 0.5, 1, 0.666667), "k": (1, 0, 0, 1.0, 1, None)}
+    cells = spark.createDataFrame([("c", 0.2, True), ("c", None, False), ("c", 1.4, False)], "catalog string, corrected double, in_range boolean")
+    assert tuple(scoring.corrected_summary(cells).first()) == ("c", 3, 0.2, 1.4, 2)
+    prompts = spark.createDataFrame([("x" * 40,), ("x" * 60,)], "prompt string")
+    r = publishing.cost(prompts, spark.range(25), 80).first()
+    assert (r.n_verdicts, r.n_calls, r.mean_chars, r.tokens_in, r.tokens_out) == (25, 3, 50.0, 25 * 12.5 + 3 * 20, 200) and r.price == pytest.approx((372.5 * 3 + 200 * 15) / 1e6)

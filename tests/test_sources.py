@@ -74,6 +74,28 @@ def test_dates_and_schemas(spark):
     assert len(schemas.SCORED_LABELS.fields) == 29 and len(schemas.BLIND_LABELS.fields) == 19
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "yarn"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(_name, _default):
+                return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_folder(Session())
+
+
+def test_written_tables_go_when_asked(spark):
+    df = workspace.written(spark.range(3), "test")
+    path = df.inputFiles()[0]
+    assert workspace.forget_written(spark) >= 1 and not files.all_there([path])
+
+
 def test_written_tables_lie_in_the_shared_folder(spark):
     df = workspace.written(spark.range(3), "test")
     assert df.count() == 3 and workspace.shared_folder(spark) in df.inputFiles()[0].replace("file:///", "file://" + "/")

@@ -48,6 +48,12 @@ def test_pairs_at_once_are_one_by_one(pairs):
     assert S.common_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [S.common_length(a, b) for a, b in pairs]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab é", max_size=20), st.lists(st.text("ab é", max_size=20), max_size=8))
+def test_token_sets_at_once_are_one_by_one(query, texts):
+    assert S.token_set_ratios(query, texts).tolist() == [S.token_set_ratio(query, t) for t in texts]
+
+
 def test_ratios_by_hand():
     assert S.indel_ratio("abcd", "abxd") == 75.0
     assert S.indel_ratio(None, "a") is None and S.indel_ratio("", "") == 100.0
