@@ -8,15 +8,18 @@ import unicodedata
 # Letters of other scripts and the Latin letters they look like.
 _CYRILLIC = ("АВЕЅІЈКМНОРСТУХҮԌԚԜҺаеѕіјорсухԁԛԝһү", "ABESIJKMHOPCTYXYGQWhaesijopcyxdqwhy")
 _GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳανορυϲ", "ABEZHIKMNOPTYXCjavopuc")
-_ARMENIAN = ("ՍՏՕօսոցհզ", "USOounghq")
-_CHEROKEE = ("ᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCEGHJKLMPRSTVWZ")
+_ARMENIAN = ("ՍՏՕօսոցհզագռք", "USOounghqwqnf")
+_CHEROKEE = ("ᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎠᎡᎥᎩᎽᏂᏏᏔᏕᏧᏻ", "ABCEGHJKLMPRSTVWZDRiYYhbWSdG")
+# Letters that pass for Latin ones, but for which Latin ones aren't used.
+_CYRILLIC_TOO = ("ЬгѡѴѵҽӀӏ", "brwVveli")
+_GREEK_TOO = ("ͿγισϒϜϱϺ", "JyioYFpM")
+_COPTIC = ("ⲅⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⳐ", "rHlKMNOoPpCcTYXL")
 
 #: Look-alike letter to Latin letter.
-TO_LATIN = {a: b for pair in (_CYRILLIC, _GREEK, _ARMENIAN, _CHEROKEE) for a, b in zip(*pair, strict=True)}
+TO_LATIN = {a: b for pair in (_CYRILLIC, _GREEK, _ARMENIAN, _CHEROKEE, _CYRILLIC_TOO, _GREEK_TOO, _COPTIC) for a, b in zip(*pair, strict=True)}
 _TO_LATIN = str.maketrans(TO_LATIN)
 #: Latin letter to look-alike letter, for words of these scripts that hold Latin letters.
-TO_CYRILLIC = str.maketrans({b: a for a, b in zip(*_CYRILLIC, strict=True)})
-TO_GREEK = str.maketrans({b: a for a, b in zip(*_GREEK, strict=True)})
+TO_CYRILLIC, TO_GREEK = (str.maketrans({b: a for a, b in zip(*pair, strict=True)}) for pair in (_CYRILLIC, _GREEK))
 
 # Ranges of code points, as within brackets of a pattern.
 FULL_WIDTH = "\uff01-\uff60\uffe0-\uffe6"

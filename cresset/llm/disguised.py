@@ -22,7 +22,7 @@ from cresset.sources.workspace import written
 
 _MIXED = {"width": f"[{L.FULL_WIDTH}]", "ligature": f"[{L.LIGATURES}]", "mark": f"[{L.MARKS}]", "invisible": f"[{L.INVISIBLE}]", "space": f"[{L.SPACES}]"}
 _WORD = re.compile(r"[^\W_]+")
-_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic")
 #: Neighbouring letters of a word in two of the scripts; matched in one pass, whatever the length of the word.
 _TWO_SCRIPTS = "|".join(rf"\p{{Is{a}}}[\p{{M}}\p{{N}}]*+\p{{Is{b}}}" for a in _SCRIPTS for b in _SCRIPTS if a != b)
 _OTHER_SCRIPT = "[" + "".join(rf"\p{{Is{s}}}" for s in _SCRIPTS[1:]) + "]"

@@ -21,7 +21,7 @@ from cresset.llm import _chars as C
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text taken at once, and longest piece of a text where a safe cut exists.
 _BATCH, _PIECE = 1 << 20, 1 << 22
-#: Words whose ids a Python worker remembers; beyond it starts anew.
+#: Words, and pairs of tokens, that a Python worker remembers; beyond it starts anew.
 _REMEMBERED = 1 << 19
 
 # The endings that a word leaves to a token of their own.
@@ -72,6 +72,8 @@ class TrieEncoder:
     def fits(self, a: bytes, b: bytes) -> bool:
         """Whether the tokens a, b stay two tokens when their bytes are encoded together."""
         if (a, b) not in self._fits:
+            if len(self._fits) > _REMEMBERED:
+                self._fits.clear()
             self._fits[a, b] = self._stay(self._chain(a, 1, self._right), self._chain(b, 0, self._left))
         return self._fits[a, b]
 

@@ -63,3 +63,4 @@ def test_pattern_misses_no_finding(spark):
 def test_one_script():
     assert D.one_script("Mіll") == "Mill" and D.one_script("Жill") == "Жill" and D.one_script("мир") == "мир"
     assert D.one_script("Рrа") == "Pra"  # look-alikes in the majority
+    assert D.one_script("haгbor") == "harbor" and D.one_script("γacht") == "yacht" and D.one_script("mⲟcha") == "mocha" and D.one_script("ѡave") == "wave"
