@@ -217,6 +217,76 @@ def token_set_ratios(query: str, texts: Sequence[str]) -> np.ndarray:
     return out
 
 
+#: Classes of signs whose numbers bound the common length of two strings.
+_CLASSES = 64
+
+
+def sign_counts(texts: Sequence[str]) -> np.ndarray:
+    """How many signs of each class a string has; the smaller counts of two strings sum to no less than their common length."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    cells = np.repeat(np.arange(len(texts)), sizes) * _CLASSES + points % _CLASSES
+    return np.bincount(cells, minlength=len(texts) * _CLASSES).reshape(-1, _CLASSES).astype(np.int32)
+
+
+class NearStrings:
+    """Strings among which those of at least some ratio to another are found: only those are compared whose lengths and numbers of signs allow it."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.texts = texts
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.counts = sign_counts(texts)
+
+    def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ratios of the strings that reach a ratio above 0."""
+        total = self.lengths + len(query)
+        likely = np.flatnonzero(200.0 * np.minimum(self.lengths, len(query)) >= least * total)
+        bound = np.minimum(self.counts[likely], sign_counts([query])).sum(axis=1)
+        likely = likely[200.0 * bound >= least * total[likely] * (1 - 1e-12)]
+        ratios = 200.0 * common_lengths([query] * len(likely), [self.texts[k] for k in likely]) / np.maximum(total[likely], 1)
+        reached = ratios >= least
+        return likely[reached], ratios[reached]
+
+
+class NearTokenSets:
+    """The same for token-set ratios: shared tokens are found by lists of the strings they are in."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.texts = texts
+        sets = [set(t.split()) for t in texts]
+        self.tokens = np.array([len(s) for s in sets], dtype=np.int64)
+        self.letters = np.array([sum(map(len, s)) for s in sets], dtype=np.int64)
+        self.counts = sign_counts(["".join(s) for s in sets])
+        held: dict[str, list[int]] = {}
+        for k, s in enumerate(sets):
+            for token in s:
+                held.setdefault(token, []).append(k)
+        self.held = {token: np.array(ks) for token, ks in held.items()}
+
+    def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ratios of the strings that reach a ratio above 0."""
+        own = set(query.split())
+        if not own:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        lists = [(len(t), self.held[t]) for t in own if t in self.held]
+        at = np.concatenate([ks for _, ks in lists]) if lists else np.zeros(0, dtype=np.int64)
+        lengths = np.repeat([n for n, _ in lists], [len(ks) for _, ks in lists]) if lists else np.zeros(0)
+        n = len(self.texts)
+        shared, many = np.bincount(at, lengths, n), np.bincount(at, minlength=n)
+        both, head = np.maximum(shared + many - 1, 0), shared + many
+        spaces = [np.maximum(k - many - 1, 0) for k in (len(own), self.tokens)]
+        sizes = [head + letters - shared + s for letters, s in zip((sum(map(len, own)), self.letters), spaces)]
+        bound = np.minimum(self.counts, sign_counts(["".join(own)])).sum(axis=1) - shared + np.minimum(*spaces)
+        best = 200.0 * (head + bound) / np.maximum(sizes[0] + sizes[1], 1)
+        for size in sizes:
+            best = np.maximum(best, 200.0 * both / np.maximum(both + size, 1))
+        whole = (many > 0) & ((many == len(own)) | (many == self.tokens))
+        likely = np.flatnonzero((whole | (best >= least * (1 - 1e-12))) & (self.tokens > 0))
+        ratios = token_set_ratios(query, [self.texts[k] for k in likely])
+        reached = ratios >= least
+        return likely[reached], ratios[reached]
+
+
 @F.pandas_udf(T.IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Common length of each pair, null where either is."""

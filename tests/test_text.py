@@ -54,6 +54,16 @@ def test_token_sets_at_once_are_one_by_one(query, texts):
     assert S.token_set_ratios(query, texts).tolist() == [S.token_set_ratio(query, t) for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("abcé 日", max_size=20), st.lists(st.text("abcé 日", max_size=20), max_size=10), st.sampled_from([1.0, 40.0, 66.0, 90.0, 100.0]))
+def test_bounds_lose_nothing(query, texts, least):
+    for near, one in ((S.NearStrings, S.indel_ratio), (S.NearTokenSets, S.token_set_ratio)):
+        at, ratios = near(texts).at_least(query, least)
+        if query or one is S.token_set_ratio:
+            want = {k: one(query, t) for k, t in enumerate(texts) if (query or t) and one(query, t) >= least}
+            assert dict(zip(at.tolist(), ratios.tolist())) == want
+
+
 def test_ratios_by_hand():
     assert S.indel_ratio("abcd", "abxd") == 75.0
     assert S.indel_ratio(None, "a") is None and S.indel_ratio("", "") == 100.0
