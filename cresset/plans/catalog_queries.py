@@ -255,16 +255,17 @@ scored AS MATERIALIZED (SELECT query, item_id, max({ratio_sql('q', 'f', '(' + co
 top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id)::INT AS place FROM scored QUALIFY place <= 12)
 """
 _RETRIEVED = f"""
-WITH asked AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT catalog, generated_title, {fold_sql('generated_title')} AS a FROM human_labels_201 WHERE generated_title IS NOT NULL) WHERE a <> ''),
-entries AS MATERIALIZED (SELECT * FROM (SELECT catalog, item_id, {fold_sql('title')} AS f FROM catalog WHERE title IS NOT NULL) WHERE f <> ''),
+WITH asked AS MATERIALIZED (SELECT *, {sort_sql('a')} AS x FROM (SELECT DISTINCT catalog, generated_title, {fold_sql('generated_title')} AS a FROM human_labels_201 WHERE generated_title IS NOT NULL) WHERE a <> ''),
+entries AS MATERIALIZED (SELECT *, {sort_sql('f')} AS y FROM (SELECT catalog, item_id, {fold_sql('title')} AS f FROM catalog WHERE title IS NOT NULL) WHERE f <> ''),
 each AS (SELECT catalog, item_id, unnest({set_sql('f')}) AS token FROM entries),
 sizes AS (SELECT catalog, count(*) AS n FROM entries GROUP BY 1),
 weights AS (SELECT catalog, token, ln(n / (1.0 + count(*))) AS idf FROM each JOIN sizes USING (catalog) GROUP BY catalog, token, n HAVING count(*) <= 0.02 * n),
 wanted AS (SELECT catalog, generated_title, unnest({set_sql('a')}) AS token FROM asked),
 rare AS (SELECT catalog, generated_title, item_id, round(sum(idf), 6) AS score FROM wanted JOIN (SELECT DISTINCT * FROM each) USING (catalog, token) JOIN weights USING (catalog, token) GROUP BY ALL),
 by_rare AS (SELECT *, row_number() OVER (PARTITION BY catalog, generated_title ORDER BY score DESC, item_id) AS p FROM rare QUALIFY p <= 12),
-pairs AS MATERIALIZED (SELECT catalog, generated_title, item_id, {sort_sql('a')} AS x, {sort_sql('f')} AS y FROM asked JOIN entries USING (catalog)),
-compared AS (SELECT catalog, generated_title, item_id, max({ratio_sql('x', 'y', '(' + common_sql('x', 'y') + ')')}) AS score FROM pairs GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT catalog, generated_title, item_id, x, y FROM asked JOIN entries USING (catalog)),
+lengths AS MATERIALIZED (SELECT x, y, {common_sql('x', 'y')} AS n FROM (SELECT DISTINCT x, y FROM pairs)),
+compared AS (SELECT catalog, generated_title, item_id, max({ratio_sql('x', 'y', 'n')}) AS score FROM pairs JOIN lengths USING (x, y) GROUP BY ALL),
 by_text AS (SELECT *, row_number() OVER (PARTITION BY catalog, generated_title ORDER BY score DESC, item_id) AS p FROM compared QUALIFY p <= 12),
 both_ways AS (SELECT catalog, generated_title, item_id, min(100 * block + p) AS nth FROM (SELECT catalog, generated_title, item_id, 0 AS block, p FROM by_rare UNION ALL SELECT catalog, generated_title, item_id, 1, p FROM by_text) GROUP BY ALL)
 SELECT catalog, generated_title AS title, item_id, row_number() OVER (PARTITION BY catalog, generated_title ORDER BY nth)::INT AS place FROM both_ways QUALIFY place <= 8"""
