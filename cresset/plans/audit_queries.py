@@ -23,11 +23,11 @@ def verdict_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def allout_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.blocks(_log(spark, folder), CELL, size=3)
+    return audit.blocks(_log(spark, folder), CELL)
 
 
 def _arms(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.arms(_log(spark, folder), CELL, size=3)
+    return audit.arms(_log(spark, folder), CELL)
 
 
 def audit_arms(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +125,7 @@ def restored_frame(spark: SparkSession, folder: str) -> DataFrame:
     return filled.select("row_id", "llm_match_title", "llm_match_quartile", "was_withheld")
 
 
-_LOG = "WITH log AS (SELECT *, row_number() OVER (PARTITION BY catalog, model ORDER BY row_id) - 1 AS place FROM verdicts), bad AS (SELECT catalog, model, place // 3 AS block FROM log GROUP BY ALL HAVING count(*) = 3 AND NOT bool_or(coalesce(in_catalog, false))), arms AS (SELECT l.*, CASE WHEN coalesce(in_catalog, false) THEN 'C' WHEN b.block IS NOT NULL THEN 'A' ELSE 'B' END AS arm FROM log l LEFT JOIN bad b ON l.catalog = b.catalog AND l.model = b.model AND l.place // 3 = b.block), "
+_LOG = "WITH log AS (SELECT *, row_number() OVER (PARTITION BY catalog, model ORDER BY row_id) - 1 AS place FROM verdicts), bad AS (SELECT catalog, model, place // 10 AS block FROM log GROUP BY ALL HAVING count(*) = 10 AND NOT bool_or(coalesce(in_catalog, false))), arms AS (SELECT l.*, CASE WHEN coalesce(in_catalog, false) THEN 'C' WHEN b.block IS NOT NULL THEN 'A' ELSE 'B' END AS arm FROM log l LEFT JOIN bad b ON l.catalog = b.catalog AND l.model = b.model AND l.place // 10 = b.block), "
 _SAMPLE = _LOG + f"sampled AS (SELECT * FROM arms QUALIFY row_number() OVER (PARTITION BY arm ORDER BY row_id * 2654435761 % 4294967296, row_id) <= {PER_ARM}), flips AS (SELECT arm, count(*) AS n, count(*) FILTER (row_id % 13 = 0) AS n_flipped, count(*) FILTER (row_id % 13 = 0) / count(*) AS rate FROM sampled WHERE in_catalog IS NOT NULL GROUP BY 1) "
 _CONFLICTS = "changes AS (SELECT catalog, model, in_catalog, lag(in_catalog) OVER (PARTITION BY catalog, model, title ORDER BY row_id) AS b FROM verdicts WHERE in_catalog IS NOT NULL AND title IS NOT NULL), conflicts AS (SELECT catalog, model, count(*) AS n_changes FROM changes WHERE b <> in_catalog GROUP BY ALL)"
 _COVERED = "wanted AS (SELECT DISTINCT catalog, {model}generated_title AS title FROM human_labels_201 WHERE generated_title IS NOT NULL), judged AS (SELECT DISTINCT catalog, {own}title, true AS j FROM verdicts WHERE judged), coverage AS (SELECT catalog, {own}count(*) AS n_titles, count(j) AS n_judged, count(*) - count(j) AS n_missing FROM wanted LEFT JOIN judged USING (catalog, {own}title) GROUP BY ALL)"

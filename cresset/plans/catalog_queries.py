@@ -187,14 +187,23 @@ def parsed_replies(spark: SparkSession, folder: str) -> DataFrame:
     return judging.parse_replies(replies, ["catalog", "batch"])
 
 
+def _with_quartiles(items: DataFrame, entries: DataFrame) -> DataFrame:
+    """Items whose candidates also hold the quartile of their entry, of repeated entries the last."""
+    known = entries.groupBy("catalog", "item_id").agg(F.max_by("popularity_quartile", "row_id").alias("quartile"))
+    each = items.select("row_id", "catalog", F.posexplode("candidates").alias("at", "c")).withColumn("item_id", F.col("c.item_id")).join(known, ["catalog", "item_id"], "left")
+    full = each.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "c.title", "item_id", "quartile"))).alias("full"))
+    empty = F.array().cast("array<struct<at:int,title:string,item_id:string,quartile:string>>")
+    return items.join(full, "row_id", "left").withColumn("candidates", F.coalesce("full", empty)).drop("full")
+
+
 def judge_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """Verdicts of the judge that compares normal forms, by way of prompts and replies."""
-    items = _batches(spark, folder)
+    """Verdicts of the judge that compares normal forms, by way of prompts and replies, with the quartiles of the matches."""
+    items = _with_quartiles(_batches(spark, folder), table(spark, folder, "catalog", "row_id", "catalog", "item_id", "popularity_quartile"))
     asked = judging.prompts(items.withColumn("candidates", F.transform("candidates", lambda c: c["title"])), ["catalog"])
     replies = judging.judge(asked, judging.equal_title_judge)
     counts = items.groupBy("catalog", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", F.size("candidates").alias("n")))), lambda x: x["n"]).alias("n_cands"))
     picks = judging.parse_replies(replies.join(counts, ["catalog", "batch"]), ["catalog", "batch"])
-    return judging.verdicts(items, picks, ["catalog", "batch"]).select("row_id", "judged", "in_catalog", "match_title", "match_id")
+    return judging.verdicts(items, picks, ["catalog", "batch"]).select("row_id", "judged", "in_catalog", "match_title", "match_id", "match_quartile")
 
 
 def json_fields(spark: SparkSession, folder: str) -> DataFrame:
@@ -324,8 +333,9 @@ by_sort AS (SELECT DISTINCT query FROM near WHERE {ratio_sql('q', 'f', '(' + com
 SELECT query, query IN (FROM by_set) AS token_set, query IN (FROM by_sort) AS token_sort FROM asked""",
     "retrieved_candidates": _RETRIEVED,
     "judge_verdicts": _BATCHES
-    + f""", picked AS (SELECT row_id, c, list_position(list_transform(c, lambda x: {fold_sql('x.title')}), {fold_sql('title')}) AS pick FROM batched)
-SELECT row_id, true AS judged, pick IS NOT NULL AS in_catalog, CASE WHEN pick IS NULL THEN '' ELSE c[pick].title END AS match_title, CASE WHEN pick IS NULL THEN '' ELSE c[pick].item_id END AS match_id FROM picked""",
+    + f""", picked AS (SELECT row_id, catalog, c, list_position(list_transform(c, lambda x: {fold_sql('x.title')}), {fold_sql('title')}) AS pick FROM batched)
+SELECT row_id, true AS judged, pick IS NOT NULL AS in_catalog, CASE WHEN pick IS NULL THEN '' ELSE c[pick].title END AS match_title, CASE WHEN pick IS NULL THEN '' ELSE c[pick].item_id END AS match_id,
+  CASE WHEN pick IS NULL THEN '' ELSE coalesce((SELECT arg_max(popularity_quartile, row_id) FROM catalog k WHERE k.catalog = picked.catalog AND k.item_id = c[pick].item_id), '') END AS match_quartile FROM picked""",
     "parsed_replies": _BATCHES + "SELECT catalog, batch, item, try_cast(llm_pick AS INT) AS pick FROM batched WHERE try_cast(llm_pick AS INT) BETWEEN 0 AND len(c)",
     "json_fields": "SELECT event_id, try_cast(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "parsed_dates": "SELECT o_orderkey, epoch(date_trunc('second', o_orderdate))::BIGINT AS seconds FROM orders",

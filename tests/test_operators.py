@@ -118,11 +118,12 @@ def _entries(spark, n=120):
     return rows, retrieval.index(spark.createDataFrame(rows, "catalog string, item_id string, title string"))
 
 
-def test_rare_tokens_by_brute_force(spark):
+@pytest.mark.parametrize("per_task", [retrieval.PER_TASK, 1])
+def test_rare_tokens_by_brute_force(spark, per_task):
     rows, entries = _entries(spark)
     queries = spark.createDataFrame([(f"q{k}", "s", rows[k][2]) for k in range(10)] + [("none", "s", "zzz"), ("empty", "s", "")], "query string, catalog string, folded string")
     got = {}
-    for r in retrieval.by_rare_tokens(queries, entries, retrieval.Depth(k=5)).collect():
+    for r in retrieval.by_rare_tokens(queries, entries, retrieval.Depth(k=5), per_task=per_task).collect():
         got.setdefault(r["query"], []).append((r.place, r.item_id))
     df = Counter(t for _, _, x in rows for t in set(x.split()))
     for k in range(10):
