@@ -35,28 +35,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-_WRITTEN: list[str] = []
+#: Tables written so far, each with what is needed to remove it, also once its session has been stopped.
+_WRITTEN: list[tuple] = []
 
 
-def forget_written(spark: SparkSession) -> int:
+def forget_written() -> int:
     """Removes the tables written so far; for long sessions, once the results that came from them are stored elsewhere."""
     n = len(_WRITTEN)
     while _WRITTEN:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        jvm, conf, path = _WRITTEN.pop()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
     return n
 
 
 @atexit.register
 def _forget_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
     try:
-        if spark is not None:
-            forget_written(spark)
+        forget_written()
     except Exception:  # the JVM may be gone by then
         pass
 

@@ -93,7 +93,7 @@ def test_a_cluster_must_name_its_shared_folder():
 def test_written_tables_go_when_asked(spark):
     df = workspace.written(spark.range(3), "test")
     path = df.inputFiles()[0]
-    assert workspace.forget_written(spark) >= 1 and not files.all_there([path])
+    assert workspace.forget_written() >= 1 and not files.all_there([path])
 
 
 def test_written_tables_lie_in_the_shared_folder(spark):
