@@ -82,6 +82,78 @@ class ManyStrings:
         return np.where(total > 0, 200.0 * self.common(query) / np.maximum(total, 1), 100.0)
 
 
+class BitStrings:
+    """Strings held as bits by sign, to which many others are compared a sign at a time; for many queries in order, which share their beginnings."""
+
+    #: Numbers that are held at most, and signs of a query of which the state is kept.
+    HELD, KEPT = 1 << 23, 24
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.n = len(texts)
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.parts: list[tuple] = []
+        words = np.maximum(1, -(-self.lengths // 64))
+        for w in np.unique(words).tolist():
+            self._add(w, np.flatnonzero(words == w), texts)
+
+    def _add(self, words: int, at: np.ndarray, texts: Sequence[str]) -> None:
+        sizes = self.lengths[at]
+        points = np.frombuffer("".join(texts[k] for k in at).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        alphabet, codes = np.unique(points, return_inverse=True)
+        if len(alphabet) * words * len(at) > self.HELD and len(at) > 1:
+            self._add(words, at[: len(at) // 2], texts)
+            self._add(words, at[len(at) // 2 :], texts)
+            return
+        owner = np.repeat(np.arange(len(at)), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        hits = np.zeros((len(alphabet), words, len(at)), dtype=np.uint64)
+        order = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[order], np.arange(int(sizes.max(initial=0)) + 1))
+        for j, (a, b) in enumerate(zip(ends, ends[1:])):
+            k = order[a:b]
+            hits[codes[k], j // 64, owner[k]] |= np.uint64(1) << np.uint64(j % 64)
+        by_sign = {chr(c): hits[k] for k, c in enumerate(alphabet.tolist())}
+        kept = np.full((self.KEPT + 1, words, len(at)), np.iinfo(np.uint64).max, dtype=np.uint64)
+        self.parts.append((at, words, by_sign, kept, [""], [np.empty((words, len(at)), dtype=np.uint64) for _ in range(3)]))
+
+    def common(self, query: str) -> np.ndarray:
+        """Length of the longest common subsequence with each string."""
+        out = np.zeros(self.n, dtype=np.int64)
+        for at, words, by_sign, kept, last, (hit, total, row) in self.parts:
+            same = 0
+            for a, b in zip(last[0][: self.KEPT], query):
+                if a != b:
+                    break
+                same += 1
+            now = kept[same]
+            for j in range(same, len(query)):
+                to = kept[j + 1] if j < self.KEPT else row
+                held = by_sign.get(query[j])
+                if held is None:
+                    if to is not now:
+                        to[...] = now
+                else:
+                    np.bitwise_and(now, held, out=hit)
+                    np.add(now, hit, out=total)
+                    if words > 1:
+                        over = total[0] < now[0]
+                        for w in range(1, words):
+                            more = total[w] < now[w]
+                            total[w] += over
+                            over = more | (over & (total[w] == 0))
+                    np.bitwise_xor(now, hit, out=hit)
+                    np.bitwise_or(total, hit, out=to)
+                now = to
+            last[0] = query
+            out[at] = 64 * words - np.bitwise_count(now).sum(axis=0, dtype=np.int64)
+        return out
+
+    def ratios(self, query: str) -> np.ndarray:
+        """``indel_ratio`` with each string."""
+        total = self.lengths + len(query)
+        return np.where(total > 0, 200.0 * self.common(query) / np.maximum(total, 1), 100.0)
+
+
 def common_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     """``common_length`` of many pairs, a position of all of them at a time.
 

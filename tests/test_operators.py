@@ -150,6 +150,30 @@ def test_all_pairs_by_brute_force(spark, scorer):
     assert "other" not in got
 
 
+def test_equal_texts_are_compared_once(monkeypatch):
+    seen = []
+    real = retrieval.BitStrings
+    monkeypatch.setattr(retrieval, "BitStrings", lambda texts: seen.extend(texts) or real(texts))
+    best = {}
+    retrieval._search(["mill old"], {"mill old": ["e3", "e1", "e2"], "lantern": ["e1", "e4"]}, best, 3, 0.0, "ratio")
+    assert seen == ["mill old", "lantern"] and best == {"mill old": [(100.0, "e1"), (100.0, "e2"), (100.0, "e3")]}
+
+
+def test_best_entries_among_many_of_one_text(spark):
+    texts = ["mill old the", "mill old", "harbor lantern", "mill"]
+    rows = [("s", f"e{k:03d}", texts[k % 3]) for k in range(90)] + [("s", "e005", "mill"), ("s", "e001", "mill old the")]
+    queries = spark.createDataFrame([("q0", "s", "mill old the"), ("q1", "s", "mill old the"), ("q2", "s", "mill"), ("q3", "t", "mill")], "query string, catalog string, sorted string")
+    entries = spark.createDataFrame(rows, "catalog string, item_id string, sorted string")
+    asked = {r["query"]: r["sorted"] for r in queries.collect() if r["catalog"] == "s"}
+    for least in (0.0, 60.0):
+        got = {}
+        for r in retrieval.compare_all(queries, entries, 5, least).collect():
+            got.setdefault(r["query"], []).append((r.place, r.item_id, r.score))
+        best = {q: {i: max(indel_ratio(x, t) for _, j, t in rows if j == i) for _, i, _ in rows} for q, x in asked.items()}
+        want = {q: sorted((i for i, v in b.items() if v >= least), key=lambda i: (-b[i], i))[:5] for q, b in best.items()}
+        assert {q: [i for _, i, _ in sorted(rows)] for q, rows in got.items()} == want
+
+
 def test_retrieve_is_at_most_the_depth(spark):
     rows, _ = _entries(spark, 100)
     items = spark.createDataFrame([*rows, ("s", "null", None)], "catalog string, item_id string, title string")

@@ -163,3 +163,11 @@ def test_contains_any(spark):
     rows = spark.createDataFrame([("Old (19 Mill",), (None,), ("",)], "t string")
     assert [r.c for r in rows.select(X.contains_any("t", ["(19", "q"]).alias("c")).collect()] == [True, False, False]
     assert [r.c for r in rows.select(X.contains_any(F.col("t"), []).alias("c")).collect()] == [False] * 3
+
+
+def test_strings_as_bits_by_brute_force():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcé ", k=n)) for n in (0, 1, 5, 40, 63, 64, 65, 127, 128, 129, 200) for _ in range(6)]
+    many = S.BitStrings(texts)
+    for query in sorted([*rng.sample(texts, 25), "", "zz", "a" * 90, "a" * 64]):
+        assert many.common(query).tolist() == [S.common_length(query, t) for t in texts]
