@@ -301,64 +301,6 @@ def sign_counts(texts: Sequence[str]) -> np.ndarray:
     return np.bincount(cells, minlength=len(texts) * _CLASSES).reshape(-1, _CLASSES).astype(np.int32)
 
 
-class NearStrings:
-    """Strings among which those of at least some ratio to another are found: only those are compared whose lengths and numbers of signs allow it."""
-
-    def __init__(self, texts: Sequence[str]) -> None:
-        self.texts = texts
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.counts = sign_counts(texts)
-
-    def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and ratios of the strings that reach a ratio above 0."""
-        total = self.lengths + len(query)
-        likely = np.flatnonzero(200.0 * np.minimum(self.lengths, len(query)) >= least * total)
-        bound = np.minimum(self.counts[likely], sign_counts([query])).sum(axis=1)
-        likely = likely[200.0 * bound >= least * total[likely] * (1 - 1e-12)]
-        ratios = 200.0 * common_lengths([query] * len(likely), [self.texts[k] for k in likely]) / np.maximum(total[likely], 1)
-        reached = ratios >= least
-        return likely[reached], ratios[reached]
-
-
-class NearTokenSets:
-    """The same for token-set ratios: shared tokens are found by lists of the strings they are in."""
-
-    def __init__(self, texts: Sequence[str]) -> None:
-        self.texts = texts
-        sets = [set(t.split()) for t in texts]
-        self.tokens = np.array([len(s) for s in sets], dtype=np.int64)
-        self.letters = np.array([sum(map(len, s)) for s in sets], dtype=np.int64)
-        self.counts = sign_counts(["".join(s) for s in sets])
-        held: dict[str, list[int]] = {}
-        for k, s in enumerate(sets):
-            for token in s:
-                held.setdefault(token, []).append(k)
-        self.held = {token: np.array(ks) for token, ks in held.items()}
-
-    def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and ratios of the strings that reach a ratio above 0."""
-        own = set(query.split())
-        if not own:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        lists = [(len(t), self.held[t]) for t in own if t in self.held]
-        at = np.concatenate([ks for _, ks in lists]) if lists else np.zeros(0, dtype=np.int64)
-        lengths = np.repeat([n for n, _ in lists], [len(ks) for _, ks in lists]) if lists else np.zeros(0)
-        n = len(self.texts)
-        shared, many = np.bincount(at, lengths, n), np.bincount(at, minlength=n)
-        both, head = np.maximum(shared + many - 1, 0), shared + many
-        spaces = [np.maximum(k - many - 1, 0) for k in (len(own), self.tokens)]
-        sizes = [head + letters - shared + s for letters, s in zip((sum(map(len, own)), self.letters), spaces)]
-        bound = np.minimum(self.counts, sign_counts(["".join(own)])).sum(axis=1) - shared + np.minimum(*spaces)
-        best = 200.0 * (head + bound) / np.maximum(sizes[0] + sizes[1], 1)
-        for size in sizes:
-            best = np.maximum(best, 200.0 * both / np.maximum(both + size, 1))
-        whole = (many > 0) & ((many == len(own)) | (many == self.tokens))
-        likely = np.flatnonzero((whole | (best >= least * (1 - 1e-12))) & (self.tokens > 0))
-        ratios = token_set_ratios(query, [self.texts[k] for k in likely])
-        reached = ratios >= least
-        return likely[reached], ratios[reached]
-
-
 class Overlaps:
     """Sets of numbered features, to find those that share enough weight with another: lists of the sets by feature.
 
@@ -411,6 +353,79 @@ def trigrams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return owners[first], codes[first]
 
 
+def _shared_least(least: float, total: np.ndarray) -> np.ndarray:
+    """Trigrams, those with a blank in the middle among them, that strings of these lengths together share at a ratio of ``least``.
+
+    Behind a blank on both sides of each, the common signs are at least so many runs less as there are other signs
+    between them, and a run holds all its trigrams but two.
+    """
+    return total * (least / 40.0 - 2.0) - 1e-6
+
+
+class NearStrings:
+    """Strings among which those of at least some ratio to another are found: only those are compared whose lengths, trigrams and numbers of signs allow it."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.texts = texts
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.held = np.arange(self.lengths.max(initial=0) + 1)
+        self.counts = sign_counts(texts).astype(np.uint16)
+        self.index = Overlaps(*trigrams(texts), len(texts))
+
+    def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ratios of the strings that reach a ratio above 0."""
+        codes = trigrams([query])[1]
+        lost = len(query) - len(codes)  # trigrams with a blank in the middle, and repeated ones
+        total = self.held + len(query)
+        needed = _shared_least(least, total) - lost
+        needed[200.0 * np.minimum(self.held, len(query)) < least * total] = np.inf
+        likely = self.index.at_least(codes, np.ones(len(codes)), needed[self.lengths], 0.6 * (_shared_least(least, 2.0 * len(query)) - lost))[0]
+        total = self.lengths + len(query)
+        bound = np.minimum(self.counts[likely], sign_counts([query])).sum(axis=1)
+        likely = likely[200.0 * bound >= least * total[likely] * (1 - 1e-12)]
+        ratios = 200.0 * common_lengths([query] * len(likely), [self.texts[k] for k in likely]) / np.maximum(total[likely], 1)
+        reached = ratios >= least
+        return likely[reached], ratios[reached]
+
+
+class NearTokenSets:
+    """The same for token-set ratios: shared tokens too are found by lists of the strings they are in."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        self.texts = texts
+        sets = [sorted(set(t.split())) for t in texts]
+        whole = [" ".join(s) for s in sets]
+        self.sizes = np.array([len(t) for t in whole], dtype=np.int64)
+        self.held = np.arange(self.sizes.max(initial=0) + 1)
+        self.place = {t: k for k, t in enumerate(dict.fromkeys(t for s in sets for t in s))}
+        self.shared = Overlaps(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([self.place[t] for s in sets for t in s], dtype=np.int64), len(sets))
+        self.index = Overlaps(*trigrams(whole), len(sets))
+
+    def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ratios of the strings that reach a ratio above 0."""
+        own = sorted(set(query.split()))
+        if not own:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        text = " ".join(own)
+        # by what is shared alone: all tokens of a side, or enough of their letters with a blank behind each
+        part = min(1.0, least / (200.0 - least))
+        needed = part * np.minimum(self.held, len(text)) + 1 - 1e-6
+        needed[0] = np.inf
+        held = [t for t in own if t in self.place]
+        weights = np.array([len(t) + 1.0 for t in held])
+        alike = self.shared.at_least(np.array([self.place[t] for t in held], dtype=np.int64), weights, needed[self.sizes], 0.5 * part * len(text))[0]
+        # by the tokens behind what is shared: trigrams of tokens are the same in any order
+        codes = trigrams([text])[1]
+        lost = len(text) - len(codes)
+        needed = _shared_least(least, self.held + len(text)) - lost
+        needed[0] = np.inf
+        close = self.index.at_least(codes, np.ones(len(codes)), needed[self.sizes], 0.6 * (_shared_least(least, 2.0 * len(text)) - lost))[0]
+        likely = np.union1d(alike, close)
+        ratios = token_set_ratios(query, [self.texts[k] for k in likely])
+        reached = ratios >= least
+        return likely[reached], ratios[reached]
+
+
 @F.pandas_udf(T.IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Common length of each pair, null where either is."""

@@ -171,3 +171,16 @@ def test_strings_as_bits_by_brute_force():
     many = S.BitStrings(texts)
     for query in sorted([*rng.sample(texts, 25), "", "zz", "a" * 90, "a" * 64]):
         assert many.common(query).tolist() == [S.common_length(query, t) for t in texts]
+
+
+def test_strings_of_the_same_signs_in_another_order_are_ruled_out(monkeypatch):
+    rng = random.Random(6)
+    words = "quiet meadow lantern harbor kettle winter".split()
+    texts = [" ".join("".join(rng.sample(w, len(w))) for w in words) for _ in range(300)] + [" ".join(words)]
+    compared = []
+    real = S.common_lengths
+    monkeypatch.setattr(S, "common_lengths", lambda a, b: compared.append(len(a)) or real(a, b))
+    for near in (S.NearStrings(texts), S.NearTokenSets(texts)):
+        compared.clear()
+        at, ratios = near.at_least(" ".join(words), 90.0)
+        assert at.tolist() == [300] and ratios.tolist() == [100.0] and sum(compared) <= 1
