@@ -154,6 +154,12 @@ class BitStrings:
         return np.where(total > 0, 200.0 * self.common(query) / np.maximum(total, 1), 100.0)
 
 
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The whole numbers from each low to before its high, one range behind the other."""
+    sizes = high - low
+    return np.arange(int(sizes.sum())) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+
+
 def common_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     """``common_length`` of many pairs, a position of all of them at a time.
 

@@ -186,6 +186,40 @@ def test_retrieve_is_at_most_the_depth(spark):
     assert "null" not in {r.item_id for r in got}
 
 
+def test_retrieve_compares_only_what_rare_tokens_leave_open(spark, monkeypatch):
+    rows = [("s", f"i{k:03}", f"common{k % 2} word{k // 10}") for k in range(1000)]
+    items = spark.createDataFrame(rows, "catalog string, item_id string, title string")
+    titles = spark.createDataFrame([("s", "word7"), ("s", "common0 zzz")], "catalog string, title string")
+    compared = []
+    real = retrieval.compare_all
+    monkeypatch.setattr(retrieval, "compare_all", lambda queries, *rest: compared.extend(r["title"] for r in queries.collect()) or real(queries, *rest))
+    got = {}
+    for r in retrieval.retrieve(titles, items).collect():
+        got.setdefault(r.title, []).append((r.place, r.item_id))
+    assert compared == ["common0 zzz"]
+    assert [i for _, i in sorted(got["word7"])] == [f"i{k:03}" for k in range(70, 78)] and len(got["common0 zzz"]) == 8
+
+
+def test_best_by_tokens_in_small_parts(monkeypatch):
+    random.seed(4)
+    n, words = 50, 12
+    sets = [sorted(random.sample(range(words), random.randint(0, 5))) for _ in range(n)]
+    asked = [random.sample(range(words + 2), random.randint(0, 6)) for _ in range(9)]
+    idf = [[(t % 4 + 1) * 0.7 - 1.0 for t in q] for q in asked]
+    owners, codes = (np.array([x for i, s in enumerate(sets) for x in ([i, c][side] for c in s)]) for side in (0, 1))
+    begin = np.append(0, np.cumsum([len(q) for q in asked]))
+    queries = np.array([0, 2, 3, 5, 8])
+    for at_once in (1, 30, 1 << 22):
+        monkeypatch.setattr(retrieval, "POSTINGS_AT_ONCE", at_once)
+        found = retrieval.best_by_tokens(owners, codes, n, queries, begin, np.array(sum(asked, [])), np.array(sum(idf, [])), 4)
+        got = [(int(q), int(i), float(v)) for part in found for q, i, v in zip(*part)]
+        want = []
+        for q in queries.tolist():
+            sums = {i: round(sum(w for t, w in zip(asked[q], idf[q]) if t in s), 6) for i, s in enumerate(sets) if set(asked[q]) & set(s)}
+            want += [(q, i, sums[i]) for i in sorted(sums, key=lambda i: (-sums[i], i))[:4]]
+        assert got == want
+
+
 def test_replies(spark):
     reply = "item 1: 2\n2: 9\n3: 1 sure\nitem 3 : 0\n1_0: 1\nno colon\n7: 1\n4 : x\n: \n2:: 3"
     rows = spark.createDataFrame([(1, reply, [3, 3, 1, 1]), (2, None, [1]), (3, "", [1])], "b int, reply string, n_cands array<int>")
