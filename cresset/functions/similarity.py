@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -359,6 +362,56 @@ def trigrams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return owners[first], codes[first]
 
 
+class SignBits:
+    """How often texts hold each class of signs, a bit for each class and number reached: the bits in which two texts differ are no more than their insertions and deletions.
+
+    The bits are those that tell most of the given texts apart, up to so many words; the most telling ones come first.
+    """
+
+    WORDS = 2
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        counts = np.concatenate([sign_counts(texts[at : at + 16_384]).astype(np.uint16) for at in range(0, len(texts), 16_384)] or [np.zeros((0, _CLASSES), dtype=np.uint16)])
+        reached = [(c, j, float(np.count_nonzero(counts[:, c] >= j))) for c in range(_CLASSES) for j in range(1, min(int(counts[:, c].max(initial=0)), _CLASSES) + 1)]
+        reached = sorted(reached, key=lambda x: abs(x[2] - len(texts) / 2))[: 64 * self.WORDS]
+        self.classes, self.numbers = (np.array([x[k] for x in reached], dtype=np.int64) for k in (0, 1))
+        self.words = np.zeros((self.WORDS, len(texts)), dtype=np.uint64)
+        for k, (c, j, _) in enumerate(reached):
+            self.words[k // 64] |= (counts[:, c] >= j).astype(np.uint64) << np.uint64(k % 64)
+
+    def of(self, text: str) -> np.ndarray:
+        counts = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % _CLASSES, minlength=_CLASSES)
+        out = np.zeros(64 * self.WORDS, dtype=bool)
+        out[: len(self.classes)] = counts[self.classes] >= self.numbers
+        return np.packbits(out, bitorder="little").view("<u8")
+
+
+@lru_cache(maxsize=1 << 16)
+def _token_bits(token: str) -> int:
+    """Bits that stand for a token in 192: no more than it has signs with the blank behind it."""
+    state, out = zlib.crc32(token.encode("utf-8", "surrogatepass")), 0
+    for _ in range(min(len(token) + 1, 24)):
+        state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
+        out |= 1 << (state >> 12) % 192
+    return out
+
+
+def _set_bits(sets: Sequence[Sequence[str]]) -> np.ndarray:
+    """Three words of bits for each set of tokens."""
+    return np.frombuffer(b"".join(_any_of(s).to_bytes(24, "little") for s in sets), dtype="<u8").reshape(-1, 3).T.copy()
+
+
+def _any_of(own: Sequence[str]) -> int:
+    out = 0
+    for t in own:
+        out |= _token_bits(t)
+    return out
+
+
+#: Texts of which bits are compared at once, so that these stay in a processor's cache, and pairs of a text that count as few.
+_AT_ONCE, _FEW = 65_536, 24
+
+
 def _shared_least(least: float, total: np.ndarray) -> np.ndarray:
     """Trigrams, those with a blank in the middle among them, that strings of these lengths together share at a ratio of ``least``.
 
@@ -369,43 +422,105 @@ def _shared_least(least: float, total: np.ndarray) -> np.ndarray:
 
 
 class NearStrings:
-    """Strings among which those of at least some ratio to another are found: only those are compared whose lengths, trigrams and numbers of signs allow it."""
+    """Strings among which those of at least some ratio to another are found: only those are compared whose lengths and numbers of signs allow it.
+
+    The signs are compared as bits of all strings of a fitting length, in order of length. Where these leave more than a
+    few, trigrams rule out those that have the signs in another order.
+    """
 
     def __init__(self, texts: Sequence[str]) -> None:
-        self.texts = texts
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.held = np.arange(self.lengths.max(initial=0) + 1)
-        self.counts = sign_counts(texts).astype(np.uint16)
-        self.index = Overlaps(*trigrams(texts), len(texts))
+        self.order = np.argsort([len(t) for t in texts], kind="stable")
+        self.texts = [texts[k] for k in self.order.tolist()]
+        self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.bits = SignBits(self.texts)
+        self.left, self.count, self.fits = np.empty(_AT_ONCE, dtype=np.uint64), np.empty(_AT_ONCE, dtype=np.uint8), np.empty(_AT_ONCE, dtype=bool)
+
+    def likely(self, query: str, least: float) -> np.ndarray:
+        """Places, in order of length, that lengths and signs don't rule out."""
+        size = len(query)
+        low = int(np.searchsorted(self.lengths, math.ceil(least * size / (200.0 - least) - 1e-6), side="left"))
+        high = int(np.searchsorted(self.lengths, math.floor(size * (200.0 - least) / least + 1e-6), side="right"))
+        own = self.bits.of(query)
+        apart = 1.0 - least / 100.0
+        out = []
+        for a in range(low, high, _AT_ONCE):
+            b = min(a + _AT_ONCE, high)
+            left, count, fits = self.left[: b - a], self.count[: b - a], self.fits[: b - a]
+            np.bitwise_xor(self.bits.words[0, a:b], own[0], out=left)
+            np.bitwise_count(left, out=count)
+            np.less_equal(count, np.uint8(min(255, int(apart * (size + int(self.lengths[b - 1])) + 1e-6))), out=fits)
+            at = np.flatnonzero(fits)
+            if len(at):
+                differ = count[at].astype(np.int64)
+                for w in range(1, self.bits.WORDS):
+                    differ += np.bitwise_count(self.bits.words[w, a + at] ^ own[w])
+                at += a
+                out.append(at[differ <= apart * (size + self.lengths[at]) + 1e-6])
+        likely = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        if len(likely) > _FEW:
+            codes = trigrams([query])[1]
+            owners, others = trigrams([self.texts[k] for k in likely.tolist()])
+            shared = np.bincount(owners[np.isin(others, codes)], minlength=len(likely))
+            likely = likely[shared >= _shared_least(least, self.lengths[likely] + size) - (size - len(codes))]
+        return likely
 
     def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Places and ratios of the strings that reach a ratio above 0."""
-        codes = trigrams([query])[1]
-        lost = len(query) - len(codes)  # trigrams with a blank in the middle, and repeated ones
-        total = self.held + len(query)
-        needed = _shared_least(least, total) - lost
-        needed[200.0 * np.minimum(self.held, len(query)) < least * total] = np.inf
-        likely = self.index.at_least(codes, np.ones(len(codes)), needed[self.lengths], 0.6 * (_shared_least(least, 2.0 * len(query)) - lost))[0]
-        total = self.lengths + len(query)
-        bound = np.minimum(self.counts[likely], sign_counts([query])).sum(axis=1)
-        likely = likely[200.0 * bound >= least * total[likely] * (1 - 1e-12)]
-        ratios = 200.0 * common_lengths([query] * len(likely), [self.texts[k] for k in likely]) / np.maximum(total[likely], 1)
-        reached = ratios >= least
-        return likely[reached], ratios[reached]
+        likely = self.likely(query, least)
+        others = [self.texts[k] for k in likely.tolist()]
+        if len(others) <= _FEW:
+            ratios = np.array([indel_ratio(query, t) for t in others], dtype=np.float64)
+        else:
+            ratios = 200.0 * common_lengths([query] * len(others), others) / np.maximum(self.lengths[likely] + len(query), 1)
+        return _reached(self.order[likely], ratios, least)
 
 
 class NearTokenSets:
-    """The same for token-set ratios: shared tokens too are found by lists of the strings they are in."""
+    """The same for token-set ratios: what is shared is bounded by bits of the tokens, the rest by the signs of the distinct tokens."""
 
     def __init__(self, texts: Sequence[str]) -> None:
-        self.texts = texts
         sets = [sorted(set(t.split())) for t in texts]
         whole = [" ".join(s) for s in sets]
-        self.sizes = np.array([len(t) for t in whole], dtype=np.int64)
-        self.held = np.arange(self.sizes.max(initial=0) + 1)
-        self.place = {t: k for k, t in enumerate(dict.fromkeys(t for s in sets for t in s))}
-        self.shared = Overlaps(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([self.place[t] for s in sets for t in s], dtype=np.int64), len(sets))
-        self.index = Overlaps(*trigrams(whole), len(sets))
+        self.near = NearStrings(whole)
+        self.order, self.sizes = self.near.order, self.near.lengths
+        self.texts = [texts[k] for k in self.order.tolist()]
+        self.words = _set_bits([sets[k] for k in self.order.tolist()])
+        #: signs, with a blank behind each token, for which a set's bits don't stand
+        self.spare = self.sizes + 1 - np.bitwise_count(self.words).sum(axis=0, dtype=np.int64)
+        self.floors: tuple = (None, None)
+        self.more = np.empty(_AT_ONCE, dtype=np.uint8)
+
+    def _alike(self, own: list[str], size: int, least: float) -> np.ndarray:
+        """Places that may be alike by what is shared alone: all tokens of a side, or enough of their letters with a blank behind each."""
+        part = min(1.0, least / (200.0 - least))
+        if self.floors[0] != least:
+            self.floors = (least, np.clip(np.ceil(part * self.sizes + 1 - 1e-6) - self.spare, 0, 255).astype(np.uint8))
+        bits = _set_bits([own])[:, 0]
+        spare = size + 1 - int(np.bitwise_count(bits).sum())
+        last = int(np.bitwise_count(bits[2]))
+        floor = max(0, int(np.ceil(part * size + 1 - 1e-6)) - spare - last)
+        smaller = int(np.searchsorted(self.sizes, size, side="left"))
+        first = int(np.searchsorted(self.sizes, 1, side="left"))  # no tokens, nothing shared
+        out = []
+        for low, high in ((first, smaller), (max(first, smaller), len(self.sizes))):
+            for a in range(low, high, _AT_ONCE):
+                b = min(a + _AT_ONCE, high)
+                left, count, more, fits = self.near.left[: b - a], self.near.count[: b - a], self.more[: b - a], self.near.fits[: b - a]
+                np.bitwise_and(self.words[0, a:b], bits[0], out=left)
+                np.bitwise_count(left, out=count)
+                np.bitwise_and(self.words[1, a:b], bits[1], out=left)
+                np.bitwise_count(left, out=more)
+                np.add(count, more, out=count)
+                if low == first and high == smaller:
+                    np.add(count, np.uint8(last), out=count)
+                    np.greater_equal(count, self.floors[1][a:b], out=fits)
+                else:
+                    np.greater_equal(count, np.uint8(min(255, floor)), out=fits)
+                at = np.flatnonzero(fits) + a
+                if len(at):
+                    both = np.bitwise_count(self.words[:, at] & bits[:, None]).sum(axis=0, dtype=np.int64)
+                    out.append(at[both + np.minimum(self.spare[at], spare) >= part * np.minimum(self.sizes[at], size) + 1 - 1e-6])
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def at_least(self, query: str, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Places and ratios of the strings that reach a ratio above 0."""
@@ -413,23 +528,18 @@ class NearTokenSets:
         if not own:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         text = " ".join(own)
-        # by what is shared alone: all tokens of a side, or enough of their letters with a blank behind each
-        part = min(1.0, least / (200.0 - least))
-        needed = part * np.minimum(self.held, len(text)) + 1 - 1e-6
-        needed[0] = np.inf
-        held = [t for t in own if t in self.place]
-        weights = np.array([len(t) + 1.0 for t in held])
-        alike = self.shared.at_least(np.array([self.place[t] for t in held], dtype=np.int64), weights, needed[self.sizes], 0.5 * part * len(text))[0]
-        # by the tokens behind what is shared: trigrams of tokens are the same in any order
-        codes = trigrams([text])[1]
-        lost = len(text) - len(codes)
-        needed = _shared_least(least, self.held + len(text)) - lost
-        needed[0] = np.inf
-        close = self.index.at_least(codes, np.ones(len(codes)), needed[self.sizes], 0.6 * (_shared_least(least, 2.0 * len(text)) - lost))[0]
-        likely = np.union1d(alike, close)
-        ratios = token_set_ratios(query, [self.texts[k] for k in likely])
-        reached = ratios >= least
-        return likely[reached], ratios[reached]
+        close = self.near.likely(text, least)
+        likely = np.union1d(self._alike(own, len(text), least), close[self.sizes[close] > 0])
+        others = [self.texts[k] for k in likely.tolist()]
+        ratios = np.array([token_set_ratio(query, t) for t in others], dtype=np.float64) if len(others) <= _FEW else token_set_ratios(query, others)
+        return _reached(self.order[likely], ratios, least)
+
+
+def _reached(at: np.ndarray, ratios: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in order, and ratios of those that reach the least one."""
+    order = np.flatnonzero(ratios >= least)
+    order = order[np.argsort(at[order])]
+    return at[order], ratios[order]
 
 
 @F.pandas_udf(T.IntegerType())

@@ -12,6 +12,7 @@ from cresset.operators import catalog, judging, retrieval
 from cresset.plans import audit_queries, reference_queries, score_queries
 from cresset.plans.sql import KIND, SPACES, common_sql, fold_sql, forms_sql, most_common_sql, normal_sql, ratio_sql, set_sql, short_sql, sort_sql, token_set_parts, token_set_sql, year_sql
 from cresset.sources.tables import table
+from cresset.sources.workspace import written
 
 KINDS = {"movielens": "film", "yelp": "place"}
 LEAST_ROWS, N_AUDIT, N_CALIBRATION = 12, 20, 30
@@ -140,11 +141,14 @@ def fuzzy_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def full_catalog_best(spark: SparkSession, folder: str) -> DataFrame:
     """Whether any entry of the whole catalog matches a labeled title at the cutoff, by token sets and by sorted tokens."""
-    queries = _queries(spark, folder).withColumn("sorted", text.sort_key("folded"))
-    entries = _entries(spark, folder)
+    queries = written(_queries(spark, folder).withColumn("sorted", text.sort_key("folded")), "full-queries")
+    entries = written(_entries(spark, folder), "full-entries")
+    equal = queries.join(entries.select("catalog", "sorted").distinct(), ["catalog", "sorted"], "left_semi").select("query")
+    rest = written(queries.join(equal, "query", "left_anti"), "full-unequal")
     out = queries.select("query").distinct()
     for scorer in ("token_set", "token_sort"):
-        best = retrieval.compare_all(queries, entries, 1, retrieval.DEPTH.cutoff, scorer).select("query", F.lit(True).alias(scorer))
+        found = retrieval.compare_all(rest, entries, 1, retrieval.DEPTH.cutoff, scorer).select("query").union(equal)
+        best = found.distinct().withColumn(scorer, F.lit(True))
         out = out.join(best, "query", "left").withColumn(scorer, F.coalesce(scorer, F.lit(False)))
     return out
 

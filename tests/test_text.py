@@ -184,3 +184,14 @@ def test_strings_of_the_same_signs_in_another_order_are_ruled_out(monkeypatch):
         compared.clear()
         at, ratios = near.at_least(" ".join(words), 90.0)
         assert at.tolist() == [300] and ratios.tolist() == [100.0] and sum(compared) <= 1
+
+
+def test_few_pairs_are_looked_at_closely(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(200)]
+    texts = [" ".join(["pack", "of", *rng.sample(words, 4)]) for _ in range(2000)]
+    monkeypatch.setattr(S, "common_lengths", lambda *_: pytest.fail("many pairs were compared"))
+    monkeypatch.setattr(S.Overlaps, "at_least", lambda *_: pytest.fail("lists were gone through"))
+    for near in (S.NearStrings(texts), S.NearTokenSets(texts)):
+        at, ratios = near.at_least(texts[5] + "x", 90.0)
+        assert 5 in at.tolist() and ratios.min() >= 90.0
